@@ -46,7 +46,7 @@ class Words:
 
     def ids(self, lists: list[list[bytes]]) -> np.ndarray:
         seen = set().union(*lists)
-        new = seen - self.at.keys()
+        new = seen.difference(self.at)
         if len(self.at) + len(new) > self.most:
             self.at.clear()
             new = seen
