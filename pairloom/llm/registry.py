@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, idstore, licences, quality, simhash, tokens, toxicity
+from pairloom.llm import decontam, idstore, licences, packing, pages, quality, simhash, tokens, toxicity, vectors
 from pairloom.llm.common import table
 
 
@@ -14,10 +14,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +55,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_main_text": op2_main_text,
     "op3_licences": op3_licences,
+    "op4_packing": op4_packing,
+    "op5_vectors": op5_vectors,
     "op6_quality": op6_quality,
     "op7_token_ids": op7_token_ids,
     "op8_decontamination": op8_decontamination,
@@ -51,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op8_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op5_vectors": vectors.ORACLE, "op8_decontamination": decontam.ORACLE}
