@@ -1 +1 @@
-
+"""Nothing here yet: all operators work on whole tables. "Window" in this library means a distance along a contig."""
