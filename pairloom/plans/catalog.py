@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import annotation, background, differential, distances, network, orientation, pairs, plotdata, rules, signals
+from pairloom.operators import annotation, background, differential, distances, motifs, network, orientation, pairs, plotdata, rules, signals
 from pairloom.operators import sites as S
 from pairloom.plans import inputs as I
 from pairloom.schema import Window, stranded_names
@@ -348,6 +348,28 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("enrichment")(_enriched)
+_HIERARCHY = "h as (select n_name as term, r_name as parent from nation join region on n_regionkey = r_regionkey union select r_name, 'WORLD' from region)"
+register("term_closure", f"with {_HIERARCHY}, t as (select term from h union select parent from h) select term, term as ancestor from t union select term, parent from h union select a.term, b.parent from h a join h b on b.term = a.parent")(lambda spark, d: annotation.closure(I.hierarchy(spark, d)))
+register("term_depths", f"with {_HIERARCHY} select term, case when parent = 'WORLD' then 1 else 2 end as depth from h union select 'WORLD', 0")(
+    lambda spark, d: files.depths(I.hierarchy(spark, d).select("term").union(I.hierarchy(spark, d).select("parent")).distinct(), I.hierarchy(spark, d))
+)
+
+# motifs
+
+_MOTIF = {"M": [[9.0, 0, 0, 0], [0, 9.0, 0, 0], [0, 0, 9.0, 0]]}
+
+
+def _motif_sites(spark: SparkSession, d: str) -> DataFrame:
+    g = I.genome(spark, d)
+    return motifs.scan(g.select("contig", F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end")), g, _MOTIF, pvalue=0.02, resolve=None)
+
+
+register(
+    "motif_scan",
+    f"""with {I.SITES}, g as (select contig, string_agg(case name[1] when 'c' then 'A' when 'e' then 'C' when 'p' then 'G' when 's' then 'T' else 'A' end, '' order by st, site_id) as seq from s group by contig),
+k as (select contig, seq, unnest(range(0, length(seq) - 2)) as i from g)
+select contig, i as start, i + 3 as "end", 'M' as name, case when seq[i + 1:i + 3] = 'ACG' then '+' else '-' end as strand from k where seq[i + 1:i + 3] in ('ACG', 'CGT')""",
+)(lambda spark, d: _motif_sites(spark, d).select("contig", "start", "end", "name", "strand"))
 
 # figures
 

@@ -55,6 +55,18 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, "l_partkey").select(F.col("l_orderkey").alias("basket"), F.col("p_brand").alias("item")).distinct()
 
 
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, seq): each user's events in order, spelt in four letters."""
+    s = sites(spark, sf_dir).select("contig", F.struct("start", "site_id", F.translate(F.substring("name", 1, 1), "cepsv", "ACGTA").alias("base")).alias("x"))
+    return s.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["base"]), "").alias("seq"))
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, parent): nations below regions below the world."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("term"), F.col("r_name").alias("parent")).union(r.select("r_name", F.lit("WORLD")))
+
+
 #: The same as DuckDB common table expressions; start and end are st and en.
 SITES = """s as (select event_id as site_id, cast(user_id as varchar) as contig, epoch_us(ts) // 1000000 as st, epoch_us(ts) // 1000000 + 1 + event_id % 60 as en,
   event_type as name, cast(value as double) as score, case when event_id % 2 = 0 then '+' else '-' end as strand from events)"""
