@@ -38,8 +38,9 @@ def count_distances(sites: DataFrame, rules: DataFrame, window: Window, percenta
         hits = hits.where(F.col("distance").between(0, percentage_bins))
     counted = hits.groupBy(*PAIR, "distance").agg(F.count(F.lit(1)).alias("n"))
     if not window.directional:
-        counted = counted.unionByName(counted.select(F.col("name2").alias("name1"), F.col("name1").alias("name2"), "distance", "n"))
-    counted = counted.groupBy(*PAIR, "distance").agg(F.sum("n").alias("n"))
+        there, back = F.struct(*PAIR), F.struct(F.col("name2").alias("name1"), F.col("name1").alias("name2"))
+        both = counted.select(F.explode(F.array(there, back)).alias("x"), "distance", "n")
+        counted = both.groupBy("x.name1", "x.name2", "distance").agg(F.sum("n").alias("n"))
     first = 0 if percentage else window.min_dist
     grid = rules.select(*PAIR).distinct().select(*PAIR, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("distance"))
     return grid.join(counted, [*PAIR, "distance"], "left").select(*PAIR, "distance", F.coalesce("n", F.lit(0)).cast("double").alias("value"))

@@ -107,8 +107,10 @@ def directed_counts(sites: DataFrame, window: Window, extra: tuple[str, ...] = (
 
 def symmetric(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Both orders of every pair, each with the sum of the two; a label with itself keeps its count."""
-    other = counts.where("name1 <> name2").select(*extra, F.col("name2").alias("name1"), F.col("name1").alias("name2"), "n")
-    return counts.select(*extra, "name1", "name2", "n").unionByName(other).groupBy(*extra, "name1", "name2").agg(F.sum("n").alias("n"))
+    there, back = F.struct("name1", "name2"), F.struct(F.col("name2").alias("name1"), F.col("name1").alias("name2"))
+    # repeated in place, so that what made the counts runs once
+    both = counts.select(*extra, F.explode(F.when(F.col("name1") != F.col("name2"), F.array(there, back)).otherwise(F.array(there))).alias("x"), "n")
+    return both.groupBy(*extra, F.col("x.name1").alias("name1"), F.col("x.name2").alias("name2")).agg(F.sum("n").alias("n"))
 
 
 def pair_counts(sites: DataFrame, window: Window) -> DataFrame:
