@@ -103,6 +103,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             yield batch.slice(begin), [x or b"" for x in texts[begin:]]
 
 
+_held: dict[object, object] = {}
+
+
+def held(key, make: Callable):
+    """make(), kept in this worker process until another key is asked for: a worker that serves one operator after the other holds the cache of one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -8,15 +8,13 @@ span is verified against the words of the text.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, map_texts, plain_words, saved, ship
+from pairloom.llm.common import column, held, map_texts, plain_words, saved, ship
 
 #: Phrases whose every place counts, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -44,9 +42,8 @@ LEAST = 0.6
 CACHE_WORDS = 500_000
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> dict[bytes, int]:
-    return {}
+    return held("licences", dict)
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

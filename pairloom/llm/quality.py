@@ -9,7 +9,6 @@ sparse dot product with the weights. Labels, language, source and id take no par
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import labelled
-from pairloom.llm.common import column, map_texts
+from pairloom.llm.common import column, held, map_texts
 
 #: Labelled documents that a fit reads at most.
 SAMPLE = 4000
@@ -62,9 +61,8 @@ class Words:
         return np.fromiter((i for ws in lists for i in map(get, ws)), np.int64, sum(map(len, lists)))
 
 
-@lru_cache(maxsize=1)
 def words() -> Words:
-    return Words()
+    return held("quality", Words)
 
 
 def features(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:

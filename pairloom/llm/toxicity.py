@@ -8,7 +8,6 @@ noisy-or shares a document's label out among its sentences. Sentences end at . !
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import labelled
-from pairloom.llm.common import column, map_texts
+from pairloom.llm.common import column, held, map_texts
 from pairloom.llm.quality import Ftrl, sigmoid
 
 SAMPLE = 4000
@@ -60,9 +59,8 @@ class Words:
         return np.fromiter((i for ws in lists for i in map(get, ws)), np.int64, sum(map(len, lists)))
 
 
-@lru_cache(maxsize=1)
 def words() -> Words:
-    return Words()
+    return held("toxicity", Words)
 
 
 def instances(texts: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +74,8 @@ def instances(texts: list[bytes], weights: np.ndarray | None = None) -> tuple[np
     new[1:] = cache.ends[ids[:-1]] | (doc[1:] != doc[:-1])
     sentence = np.cumsum(new) - 1
     of = doc[new]
-    held = cache.index[: len(cache.at)]
-    real = held[:, 0] != NONE if weights is None else (weights[held] != 0).any(1)
+    known = cache.index[: len(cache.at)]
+    real = known[:, 0] != NONE if weights is None else (weights[known] != 0).any(1)
     real = real[ids]
     key = np.unique(sentence[real] << 32 | ids[real])
     return key & 0xFFFFFFFF, key >> 32, of
