@@ -91,7 +91,7 @@ def noisy_or(texts: list[bytes], weights: np.ndarray, bias: float) -> tuple[np.n
     return -np.expm1(clean), p, of
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, epochs: int = 5) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, epochs: int = 6) -> tuple[np.ndarray, float]:
     """(weights, bias) from at most `most` labelled documents outside the held-out fold; without any, no word is known."""
 
     def work(batch, texts):
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     order = sorted(range(t.num_rows), key=lambda k: xxhash.xxh64_intdigest(str(ids[k])))
     i, s = t["i"].combine_chunks(), t["s"].combine_chunks()
     off, flat_i, flat_s = i.offsets.to_numpy(), i.values.to_numpy(), s.values.to_numpy()
-    model = Ftrl((1 << BITS) + 1, alpha=0.5, l1=0.6, l2=0.0)
+    model = Ftrl((1 << BITS) + 1, alpha=1.0, l1=1.0, l2=0.0)
     bias, seen = PRIOR, 1.0
     for _ in range(epochs):
         for k in order:
