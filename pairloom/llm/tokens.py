@@ -14,20 +14,23 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, map_texts
+from pairloom.llm.common import column, held, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that each of a worker's two caches may hold before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker's cache may hold before it starts anew.
+CACHE_WORDS = 500_000
 
 #: The contractions and classes of the vocabulary's own split pattern, for ASCII bytes in lower case.
 _PRE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_STOP = re.compile(rb"\.(?<=[a-z0-9]\.)(?!\S)")
+_COMMA = re.compile(rb",(?<=[a-z0-9],)(?!\S)")
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
@@ -55,6 +58,19 @@ def prove_whole(tokenizer) -> dict[bytes, int]:
     return {s.encode(): i for (s, i), e in zip(ends, found, strict=True) if e.ids == [i]}
 
 
+class _Numbers(dict):
+    """Words by number; a word that is asked for the first time gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, from a bounded cache of words.
 
@@ -68,95 +84,144 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.cache_words = cache_words
-        self.whole = {w: np.array([i], self.dtype).tobytes() for w, i in prove_whole(self.tokenizer).items()}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = dict(self.whole)
+        self.whole = prove_whole(self.tokenizer)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers = _Numbers()
+        self.first = np.zeros(1 << 17, np.int64)  # by number: where a word's ids begin in the pool, and how many they are
+        self.size = np.zeros(1 << 17, np.int64)
+        self.pool = np.zeros(1 << 19, self.dtype)
+        self.used = 0
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _merge(self, pieces: list[bytes]) -> None:
-        """Merge pre-tokens that are not proven: many at once, cut apart again at the ids that end a word."""
-        for k in range(0, len(pieces), 2000):
-            part = pieces[k : k + 2000]
+    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Note the ids, laid end to end, of words that have a number."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.numbers) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.first[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _merge(self, words: list[bytes]) -> None:
+        """Merge words of one pre-token each: many at once, cut apart again at the ids that end a word."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
             ids = np.array(self._library(b" ".join(part).decode()), self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and (not len(ids) or cuts[-1] == len(ids)):
-                raw, at, w = ids.tobytes(), 0, self.dtype.itemsize
-                for p, c in zip(part, cuts.tolist(), strict=True):
-                    self.pieces[p] = raw[at * w : c * w]
-                    at = c
+            if len(cuts) == len(part):
+                self._put(part, ids, np.diff(cuts, prepend=0))
             else:
-                for p in part:
-                    self.pieces[p] = np.array(self._library(p.decode()), self.dtype).tobytes()
-
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > self.cache_words:
-            self.words.clear()
-        if len(self.pieces) > self.cache_words + len(self.whole):
-            self.pieces = dict(self.whole)
-        split: dict[bytes, list[bytes]] = {}
-        need: set[bytes] = set()
-        odd: dict[bytes, list[str]] = {}
-        for w in missing:
+                self._apart(part)
+
+    def _apart(self, words: list[bytes]) -> None:
+        """Words that may be of several pre-tokens, each encoded by itself."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
+            self._put(part, np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64))
+
+    def _learn(self) -> None:
+        """Encode the words that are new."""
+        numbers, whole = self.numbers, self.whole
+        new, numbers.new = numbers.new, []
+        joined, apart, parts = [], [], {}
+        for w in new:
+            if w.isalpha():
+                continue  # one pre-token of a-z
             if w.isascii():
-                split[w] = parts = _PRE.findall(w)
-                need.update(parts)
-            else:
+                parts[w] = _PRE.findall(w)
+            elif not w.decode().isalpha():
                 u = w.decode()
                 stem = u.rstrip(".,!?;:")
-                if stem and stem != u and stem[-1].isalpha():
-                    split[w] = parts = [stem.encode(), u[len(stem) :].encode()]
-                    need.add(parts[1])
-                    odd[parts[0]] = []
+                if stem and stem != u and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
+                    parts[w] = [stem.encode(), u[len(stem) :].encode()]
                 else:
-                    odd[w] = []
-        need.difference_update(self.pieces)
-        self._merge(list(need))
-        # words beyond ASCII go to the library as they are, which normalises and splits them itself
-        wide = [w for w in odd if w not in self.pieces]
-        for k in range(0, len(wide), 2000):
-            part = wide[k : k + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.pieces[w] = np.array(e.ids, self.dtype).tobytes()
-        get = self.pieces.__getitem__
-        for w in missing:
-            self.words[w] = b"".join(map(get, split[w])) if w in split else get(w)
+                    apart.append(w)
+        get = numbers.__getitem__
+        for x in parts.values():
+            for y in x:
+                get(y)
+        more, numbers.new = numbers.new, []
+        known = [w for w in (*new, *more) if w in whole]
+        self._put(known, np.array([whole[w] for w in known], self.dtype), np.ones(len(known), np.int64))
+        for w in new:
+            if w not in whole and w not in parts and (w.isalpha() or not w.isascii() and w.decode().isalpha()):
+                joined.append(w)
+        for w in more:
+            if w not in whole:
+                (joined if w.isascii() or w.decode().isalpha() else apart).append(w)
+        # a word that is its own only part
+        joined += [w for w, x in parts.items() if x == [w] and w not in whole]
+        self._merge(joined)
+        self._apart(apart)
+        made = [w for w, x in parts.items() if x != [w]]
+        if made:
+            n = np.array([len(parts[w]) for w in made], np.int64)
+            at = np.fromiter((get(y) for w in made for y in parts[w]), np.int64, int(n.sum()))
+            ids, sizes = self._gather(at)
+            ends = np.cumsum(n)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            self._put(made, ids, total[ends] - total[ends - n])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words with these numbers, end to end, and how many each has."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.pool[place], sizes
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(numbers of all words, words of each text, texts that hold a special token's string and go through the library)."""
+        if len(self.numbers) > self.cache_words:
+            self._reset()
+        special, lists = [], []
+        for k, t in enumerate(texts):
+            low = t.lower()
+            if any(s in low for s in _SPECIAL):
+                special.append(k)
+                lists.append([])
+            else:
+                # a full stop or comma between a-z or a digit and white space is a pre-token of its own
+                lists.append(_COMMA.sub(b" ,", _STOP.sub(b" .", low)).split())
+        n = np.array([len(x) for x in lists], np.int64)
+        get = self.numbers.__getitem__
+        at = np.fromiter(map(get, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        if self.numbers.new:
+            self._learn()
+        return at, n, special
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as raw little-endian bytes."""
-        lists: list[list[bytes] | None] = []
-        for t in texts:
-            low = t.lower()
-            lists.append(None if any(s in low for s in _SPECIAL) else low.split())
-        self._hold(lists)
-        get = self.words.__getitem__
-        return [
-            np.array(self._library(t.decode()), self.dtype).tobytes() if ws is None else b"".join(map(get, ws))
-            for t, ws in zip(texts, lists, strict=True)
-        ]
+        at, n, special = self._words(texts)
+        ids, sizes = self._gather(at)
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])] * w
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in special:
+            out[k] = np.array(self._library(texts[k].decode()), self.dtype).tobytes()
+        return out
 
     def count(self, texts: list[bytes]) -> list[int]:
         """The number of ids of each text."""
-        return [len(x) // self.dtype.itemsize for x in self.encode(texts)]
+        at, n, special = self._words(texts)
+        total = np.concatenate([[0], np.cumsum(self.size[at])])
+        ends = np.cumsum(n)
+        out = (total[ends] - total[ends - n]).tolist()
+        for k in special:
+            out[k] = len(self._library(texts[k].decode()))
+        return out
 
-    def _hold(self, lists: list[list[bytes] | None]) -> None:
-        """Put every word of these texts in the cache."""
-        seen: set[bytes] = set()
-        for ws in lists:
-            if ws:
-                seen.update(ws)
-        missing = seen - self.words.keys()
-        if missing:
-            if len(self.words) + len(missing) > self.cache_words:
-                missing = seen
-            self._learn(missing)
 
-
-@lru_cache(maxsize=2)
 def encoder(path: str | None = None) -> WordEncoder:
-    """One encoder for each worker process, so that its cache outlives a task."""
-    return WordEncoder(path)
+    """The worker process's encoder, whose cache outlives a task."""
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
