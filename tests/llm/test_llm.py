@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pairloom.llm import components, decontam, idstore, licences, packing, pages, quality, simhash, tokens, toxicity, vectors
+from pairloom.llm import components, decontam, idstore, licences, packing, pages, quality, registry, simhash, tokens, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_tokens string, fingerprint string"
 ODD = [
@@ -225,6 +225,60 @@ def test_proximity():
     assert s.document(exact).tolist() == [3] and sorted(s.document(near).tolist()) == [0, 3]
 
 
+def brute_near(docs, items, slop, window=10):
+    """How many rows there are of each (document, number of items that a window of ten words and `slop` inserted ones is near)."""
+    windows = {}
+    for i, t in items:
+        w = plain(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(i)
+
+    def near(words, w):
+        for a in range(len(words)):
+            if words[a] != w[0]:
+                continue
+            ends = {a}
+            for t in w[1:]:
+                ends = {b for e in ends for b in range(e + 1, min(len(words), a + len(w) + slop)) if words[b] == t}
+            if ends:
+                return True
+        return False
+
+    out = Counter()
+    for d, t, *_ in docs:
+        words = plain(t)
+        out[d, len({i for w, own in windows.items() if near(words, w) for i in own})] += 1
+    return out
+
+
+def test_near_contamination(spark, tmp_path, monkeypatch):
+    r = random.Random(16)
+    words = ["".join(r.choice("abc") for _ in range(2)) for _ in range(9)] + [f"w{k}" for k in range(15)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    items = [(i, " ".join(text(r.choice([2, 4, 10, 13])))) for i in range(12)]
+    docs = []
+    for k in range(80):
+        w = r.choice(items)[1].split()
+        for _ in range(k % 5):
+            w.insert(r.randint(1, len(w) - 1), r.choice(["xx", r.choice(words)]))
+        docs.append((k, " ".join(text(r.randint(0, 12)) + w + text(4)), "", "", "", ""))
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    get = lambda **x: Counter((y.doc_id, y.n_near) for y in decontam.contamination(df, bench, **x).collect())
+    want = {s: brute_near(docs, items, s) for s in (0, 1, 2)}
+    assert want[0] != want[1] != want[2]
+    assert all(get(slop=s) == want[s] for s in want)
+    with monkeypatch.context() as m:
+        m.setattr(decontam, "SEGMENT_BYTES", 700)
+        m.setattr(decontam.blocks, "__defaults__", (60,))
+        assert get(slop=2) == want[2]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = registry.op8_decontamination(spark, str(tmp_path))
+    exact = decontam.contamination(df, bench, slop=0).drop("n_near")
+    assert Counter((y.doc_id, y.n_near) for y in whole.collect()) == want[2]
+    assert Counter(whole.drop("n_near").collect()) == Counter(exact.collect())
+
+
 def test_licences(spark, odd, none):
     text = [
         "Released under the MIT License. mit license, CC-BY 4.0 and cc by",
