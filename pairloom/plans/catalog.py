@@ -234,8 +234,14 @@ def _few(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return s, s.select(F.col("name").alias("name1")).distinct().where("name1 <= 'Brand#13'").crossJoin(s.select(F.col("name").alias("name2")).distinct().where("name2 <= 'Brand#13'"))
 
 
-def _hist(spark: SparkSession, d: str, w: Window = _DW, **more) -> DataFrame:
-    return distances.count_distances(*_few(spark, d), w, **more)
+def _every(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All labels, crossed with themselves."""
+    s = I.items(spark, d)
+    return s, S.names_of(s).withColumnRenamed("name", "name1").crossJoin(S.names_of(s).withColumnRenamed("name", "name2"))
+
+
+def _hist(spark: SparkSession, d: str, w: Window = _DW, of=_few, **more) -> DataFrame:
+    return distances.count_distances(*of(spark, d), w, **more)
 
 
 def hist_sql(w: Window = _DW, tail: str = "select name1, name2, distance, value from h") -> str:
@@ -262,21 +268,21 @@ register("dist_collapse_negative", hist_sql(_NEG, "select name1, name2, case whe
 
 
 def _peaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = _hist(spark, d)
+    c = _hist(spark, d, of=_every)
     signal = distances.smooth(distances.scale(c), 3)
     return c, signal, distances.analyze(c, signal, "zscore", 1.5, smooth_window=3)
 
 
-register("dist_background")(lambda spark, d: distances.correct_background(distances.scale(_hist(spark, d)), keep=True))
+register("dist_background")(lambda spark, d: distances.correct_background(distances.scale(_hist(spark, d, of=_every)), keep=True))
 register("dist_peaks")(lambda spark, d: _peaks(spark, d)[2])
-register("dist_preferred")(lambda spark, d: distances.preferred(*_few(spark, d), _DW, 2.0))
+register("dist_preferred")(lambda spark, d: distances.preferred(*_every(spark, d), _DW, 2.0))
 register("dist_noise")(lambda spark, d: distances.noise(_peaks(spark, d)[1], _peaks(spark, d)[2]))
 register("dist_rank")(lambda spark, d: distances.rank(_peaks(spark, d)[2].join(distances.noise(*_peaks(spark, d)[1:]), ["name1", "name2"])))
 register("dist_hubs")(lambda spark, d: distances.hubs(_peaks(spark, d)[2]))
-register("dist_count_peaks")(lambda spark, d: distances.count_peaks(_few(spark, d)[1], _peaks(spark, d)[2]))
-register("dist_classify")(lambda spark, d: distances.classify(_few(spark, d)[1], _peaks(spark, d)[2]))
-register("dist_periodicity")(lambda spark, d: distances.periodicity(_hist(spark, d)))
-register("dist_autocorrelation")(lambda spark, d: distances.autocorrelation(_hist(spark, d)))
+register("dist_count_peaks")(lambda spark, d: distances.count_peaks(_every(spark, d)[1], _peaks(spark, d)[2]))
+register("dist_classify")(lambda spark, d: distances.classify(_every(spark, d)[1], _peaks(spark, d)[2]))
+register("dist_periodicity")(lambda spark, d: distances.periodicity(_hist(spark, d, of=_every)))
+register("dist_autocorrelation")(lambda spark, d: distances.autocorrelation(_hist(spark, d, of=_every)))
 _WIDE = ", ".join(f'max(case when distance = {k} then value end) as "{k}"' for k in range(11))
 register("dist_wide", hist_sql(Window(max_dist=10), f"select name1, name2, {_WIDE} from h group by 1, 2"))(lambda spark, d: distances.wide(_hist(spark, d, Window(max_dist=10)), 0, 10))
 
