@@ -347,7 +347,7 @@ register("annotated_genes", f"{_ANNOTATE} select distinct gene_name as gene from
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as genes, the brands and types of what they ship as terms."""
     li, part = I.table(spark, d, "lineitem"), I.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    j = li.join(part, "l_partkey").where("l_quantity > 48")
+    j = li.join(part, "l_partkey")
     owned = j.select(F.col("l_suppkey").cast("string").alias("gene"), F.col("p_brand").alias("term")).union(j.select(F.col("l_suppkey").cast("string"), F.col("p_type")))
     terms = owned.select("term").distinct().select("term", F.when(F.col("term").startswith("Brand"), "brand").otherwise("type").alias("aspect"), F.lit(1).alias("depth"), F.col("term").alias("description"))
     return annotation.enrichment(owned.where("cast(gene as long) % 3 = 0").select("gene"), owned, terms)

@@ -38,3 +38,21 @@ def test_distances_of_every_label(spark, shipped, monkeypatch):
         seen.clear()
         catalog.QUERIES[name](spark, d)
         assert {(r.name1, r.name2) for r in seen[0].collect()} == {(a, b) for a in BRANDS for b in BRANDS}
+
+
+def test_enrichment_over_every_line_item(spark, shipped):
+    d, rows = shipped
+    owners = {}
+    for s, _, brand, kind in rows:
+        owners.setdefault(brand, set()).add(s)
+        owners.setdefault(kind, set()).add(s)
+    seen = {}
+
+    def spy(genes, owned, terms):
+        seen["owned"] = {(r.term, int(r.gene)) for r in owned.collect()}
+        return genes
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog.annotation, "enrichment", spy)
+        catalog.QUERIES["enrichment"](spark, d)
+    assert seen["owned"] == {(t, s) for t, of in owners.items() for s in of}
