@@ -115,37 +115,66 @@ def modularity(edges: list[tuple[str, str, float]], label: dict[str, str]) -> fl
     return inside / m - sum((v / (2 * m)) ** 2 for v in total.values())
 
 
-def blockmodel(edges: list[tuple[str, str, float]], seed: int = 1, most: int = 12) -> dict[str, str]:
-    """Blocks of a stochastic block model: the partition of the shortest description that greedy moves find, over numbers of blocks."""
+def blockmodel(edges: list[tuple[str, str, float]], seed: int = 1) -> dict[str, str]:
+    """Blocks of a stochastic block model: the partition of the shortest description that greedy moves find, over all numbers of blocks.
+
+    Numbers whose own cost is above the best description found cannot be better, as the cost of the edges is never negative.
+    """
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
     at = {x: i for i, x in enumerate(nodes)}
     adj = np.zeros((len(nodes), len(nodes)))
     for a, b, _ in edges:
         adj[at[a], at[b]] = adj[at[b], at[a]] = 1
+    most_edges = math.log(max(2, len(edges)))
 
-    def cost(z: np.ndarray, q: int) -> float:
-        one = np.eye(q)[z]
-        e, n = one.T @ adj @ one, one.sum(0)
-        pairs = np.outer(n, n)
+    def own_cost(q: int) -> float:
+        return len(nodes) * math.log(q) + q * (q + 1) / 2 * most_edges
+
+    def bits(e: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         p = np.divide(e, pairs, out=np.zeros_like(e), where=pairs > 0)
         with np.errstate(all="ignore"):
-            h = -np.nan_to_num(p * np.log(p)) - np.nan_to_num((1 - p) * np.log(1 - p))
-        return float((pairs * h).sum() / 2 + len(nodes) * math.log(q) + q * (q + 1) / 2 * math.log(max(2, len(edges))))
+            return pairs * (-np.nan_to_num(p * np.log(p)) - np.nan_to_num((1 - p) * np.log(1 - p)))
+
+    def cost(z: np.ndarray, q: int) -> float:
+        one = np.eye(q)[z]
+        return float(bits(one.T @ adj @ one, np.outer(one.sum(0), one.sum(0))).sum() / 2 + own_cost(q))
+
+    def moves(e: np.ndarray, n: np.ndarray, k: np.ndarray, loop: float) -> np.ndarray:
+        """The cost of the edges with a node of k edges to the blocks in each of them; e and n are without it."""
+        old = bits(e, np.outer(n, n))
+        row, pairs = e + k, np.outer(n + 1, n)
+        np.fill_diagonal(row, e.diagonal() + 2 * k + loop)
+        np.fill_diagonal(pairs, (n + 1) ** 2)
+        new = bits(row, pairs)
+        return (old.sum() - 2 * old.sum(1) + old.diagonal() + 2 * new.sum(1) - new.diagonal()) / 2
 
     rng = np.random.default_rng(seed)
     best, found = math.inf, np.zeros(len(nodes), int)
-    for q in range(1, min(most, len(nodes)) + 1):
+    for q in range(1, len(nodes) + 1):
+        if own_cost(q) >= best:
+            break
         z = rng.integers(0, q, len(nodes))
         now = cost(z, q)
         for _ in range(20):
             before = now
+            one = np.eye(q)[z]
+            e, n = one.T @ adj @ one, one.sum(0)
             for i in range(len(nodes)):
-                old, tried = z[i], []
-                for c in range(q):
-                    z[i] = c
-                    tried.append(cost(z, q))
-                z[i] = old if tried[old] <= min(tried) + 1e-12 else int(np.argmin(tried))
-                now = tried[z[i]]
+                old, loop = z[i], adj[i, i]
+                k = np.bincount(z, adj[i], q)
+                k[old] -= loop
+                e[old] -= k
+                e[:, old] -= k
+                e[old, old] -= loop
+                n[old] -= 1
+                tried = moves(e, n, k, loop)
+                if tried[old] > tried.min() + 1e-9:
+                    z[i] = int(np.argmin(tried))
+                e[z[i]] += k
+                e[:, z[i]] += k
+                e[z[i], z[i]] += loop
+                n[z[i]] += 1
+            now = cost(z, q)
             if now >= before - 1e-9:
                 break
         if now < best:

@@ -326,13 +326,13 @@ register("net_degree_weighted", f"{_EDGES} select node, round(sum(w), 6) as degr
 register("net_degree_out", f"{_EDGES} select node, sum(w)::double as degree from (select node1 as node, 1 as w from e union all select node2, 0 from e) group by node")(lambda spark, d: network.degree(_edges(spark, d), direction="out"))
 register("net_node_attributes")(lambda spark, d: spark.createDataFrame([(c,) for c in network.node_attributes(rules.rules_of(I.items(spark, d), _WEEK), "name1")], "attribute string"))
 register("net_louvain")(lambda spark, d: network.cluster(_edges(spark, d), weight="cosine"))
-register("net_blockmodel")(lambda spark, d: network.cluster(_edges(spark, d).where("n12 % 2 = 0"), "blockmodel"))
-register("net_betweenness")(lambda spark, d: network.betweenness(_edges(spark, d).where("n12 % 3 = 0")))
+register("net_blockmodel")(lambda spark, d: network.cluster(_edges(spark, d), "blockmodel"))
+register("net_betweenness")(lambda spark, d: network.betweenness(_edges(spark, d)))
 register("net_neighbourhood", f"{_EDGES}, k as (select * from e where n12 % 3 = 0), b as (select 'Brand#11' as n union select node2 from k where node1 = 'Brand#11' union select node1 from k where node2 = 'Brand#11') select node1, node2 from k where node1 in (select n from b) and node2 in (select n from b)")(
     lambda spark, d: network.neighbourhood(_edges(spark, d).where("n12 % 3 = 0"), "Brand#11").select("node1", "node2")
 )
 register("net_random")(lambda spark, d: network.random_network(network.build(rules.rules_of(I.items(spark, d), _WEEK))[0], 50))
-register("net_powerlaw")(lambda spark, d: network.powerlaw(network.degree(_edges(spark, d).where("n12 % 3 = 0"))))
+register("net_powerlaw")(lambda spark, d: network.powerlaw(network.degree(_edges(spark, d))))
 
 # annotation and enrichment
 

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators import network
 from pairloom.plans import catalog
 
 BRANDS = ["Brand#1", "Brand#13", "Brand#21", "Brand#34", "Brand#55"]
@@ -56,3 +57,18 @@ def test_enrichment_over_every_line_item(spark, shipped):
         m.setattr(catalog.annotation, "enrichment", spy)
         catalog.QUERIES["enrichment"](spark, d)
     assert seen["owned"] == {(t, s) for t, of in owners.items() for s in of}
+
+
+def test_networks_of_every_edge(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "d", 3), ("d", "e", 4), ("e", "a", 6)], "node1 string, node2 string, n12 long")
+    monkeypatch.setattr(catalog, "_edges", lambda *_: edges)
+    assert {r.node: r.betweenness for r in catalog.QUERIES["net_betweenness"](spark, "").collect()} == dict.fromkeys("abcde", 1.0)
+    assert {r.node for r in catalog.QUERIES["net_blockmodel"](spark, "").collect()} == set("abcde")
+    assert [(r.degree, r.n) for r in catalog.QUERIES["net_powerlaw"](spark, "").collect()] == [(2, 5)]
+
+
+def test_more_than_twelve_blocks():
+    group = lambda k: [f"{k:02}-{i:02}" for i in range(14)]
+    edges = [(a, b, 1.0) for k in range(16) for a in group(k) for b in group(k) if a <= b]
+    got = network.blockmodel(edges)
+    assert len(set(got.values())) > 12
