@@ -168,8 +168,8 @@ def _baskets(b: DataFrame) -> DataFrame:
 # background
 
 _BACK = Window(max_dist=3600)
-register("background_zscore")(lambda spark, d: background.zscores(pairs.pair_counts(I.sites(spark, d), _BACK), background.background_counts(I.sites(spark, d), _BACK, 10), 10))
-register("background_exact")(lambda spark, d: background.zscores(pairs.pair_counts(I.sites(spark, d), _BACK), background.background_counts(I.sites(spark, d), _BACK, 3, exact=True), 3))
+register("background_zscore")(lambda spark, d: background.zscores(pairs.pair_counts(I.sites(spark, d), _BACK), background.background_counts(I.sites(spark, d), _BACK), background.SHUFFLES))
+register("background_exact")(lambda spark, d: background.zscores(pairs.pair_counts(I.sites(spark, d), _BACK), background.background_counts(I.sites(spark, d), _BACK, exact=True), background.SHUFFLES))
 
 # occurrences
 

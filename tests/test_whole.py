@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import network
+from pairloom.operators import background, network
 from pairloom.plans import catalog
 
 BRANDS = ["Brand#1", "Brand#13", "Brand#21", "Brand#34", "Brand#55"]
@@ -72,3 +72,14 @@ def test_more_than_twelve_blocks():
     edges = [(a, b, 1.0) for k in range(16) for a in group(k) for b in group(k) if a <= b]
     got = network.blockmodel(edges)
     assert len(set(got.values())) > 12
+
+
+@pytest.mark.parametrize(("name", "exact"), [("background_zscore", False), ("background_exact", True)])
+def test_background_of_fifty_shuffles(spark, golden, monkeypatch, name, exact):
+    monkeypatch.setattr(catalog.I, "sites", lambda *_: golden)
+    seen = {}
+    monkeypatch.setattr(background, "exact_shuffle", lambda sites, window, seed, *_: seen.setdefault(seed, sites))
+    monkeypatch.setattr(background, "sweep_counts", lambda both, w: golden.limit(0).selectExpr("0 as seed", "name as name1", "name as name2", "start as n"))
+    monkeypatch.setattr(background, "directed_counts", lambda s, w, extra: seen.update(dict.fromkeys(r.seed for r in s.select("seed").distinct().collect())) or golden.limit(0).selectExpr("0 as seed", "name as name1", "name as name2", "start as n"))
+    catalog.QUERIES[name](spark, "")
+    assert set(seen) == set(range(50))
