@@ -8,9 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values that a fit reads at most; more are sampled by a seeded hash order.
-MOST = 10_000
-
 
 def _normal_cdf(x):
     return 0.5 * np.vectorize(math.erfc)(-np.asarray(x, float) / math.sqrt(2))
@@ -111,16 +108,24 @@ def _ppf(kind: str, q: float, p: np.ndarray) -> float:
     return loc - scale * math.log1p(-q * -math.expm1(-width))
 
 
-def fit(x: np.ndarray) -> tuple[str, np.ndarray]:
-    """The family of greatest likelihood with its parameters. norm, expon and laplace have closed forms; the others are searched for."""
+def fit(x: np.ndarray, times: np.ndarray | None = None) -> tuple[str, np.ndarray]:
+    """The family of greatest likelihood with its parameters. norm, expon and laplace have closed forms; the others are searched for.
+
+    `times` tells how often each value stands; once if it is not given.
+    """
     x = np.asarray(x, float)
-    mean, std, lo, hi = float(x.mean()), float(x.std()) or 1e-9, float(x.min()), float(x.max())
+    n = np.ones(len(x)) if times is None else np.asarray(times, float)
+    mean, lo, hi = float(np.average(x, weights=n)), float(x.min()), float(x.max())
+    std = math.sqrt(float(np.average((x - mean) ** 2, weights=n))) or 1e-9
     width = max(hi - lo, 1e-9)
-    median = float(np.median(x))
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    middle = [np.searchsorted(upto, upto[-1] / 2, side=side) for side in ("left", "right")]
+    median = float(x[order][middle].mean())
     fits = {
         "norm": np.array([mean, math.log(std)]),
         "expon": np.array([lo, math.log(max(mean - lo, 1e-9))]),
-        "laplace": np.array([median, math.log(max(float(np.abs(x - median).mean()), 1e-9))]),
+        "laplace": np.array([median, math.log(max(float(np.average(np.abs(x - median), weights=n)), 1e-9))]),
     }
     below = lo - 1e-3 * width
     start = {
@@ -130,7 +135,7 @@ def fit(x: np.ndarray) -> tuple[str, np.ndarray]:
         "truncnorm": [mean, math.log(std), (lo - mean) / std - 1e-3, math.log(width / std + 2e-3)],
         "truncexpon": [below, math.log(max(mean - lo, 1e-9)), 0.0, math.log((hi - below) / max(mean - lo, 1e-9) + 1e-3)],
     }
-    loss = lambda kind: lambda p: float(v) if math.isfinite(v := -_logpdf(kind, x, p).sum()) else 1e300
+    loss = lambda kind: lambda p: float(v) if math.isfinite(v := -(n * _logpdf(kind, x, p)).sum()) else 1e300
     score = {k: loss(k)(p) for k, p in fits.items()}
     for kind, p0 in start.items():
         fits[kind], score[kind] = nelder_mead(loss(kind), np.array(p0))
@@ -138,11 +143,12 @@ def fit(x: np.ndarray) -> tuple[str, np.ndarray]:
     return best, fits[best]
 
 
-def threshold(table: DataFrame, column: str, percent: float = 0.05, most: int = MOST) -> tuple[float, float]:
-    """The lower and upper `percent` quantile of the distribution that fits the finite values best."""
+def threshold(table: DataFrame, column: str, percent: float = 0.05) -> tuple[float, float]:
+    """The lower and upper `percent` quantile of the distribution that fits the finite values best. The driver holds each distinct value with its number."""
     v = table.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").where(F.abs("v") != float("inf"))
-    x = np.array([r.v for r in v.orderBy(F.xxhash64("v"), "v").limit(most).collect()]) if v.count() > most else np.array([r.v for r in v.collect()])
-    if len(x) < 2:
+    found = v.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").toArrow()
+    x, n = found["v"].to_numpy(), found["n"].to_numpy()
+    if n.sum() < 2:
         raise ValueError(f"{column} has too few finite values")
-    kind, p = fit(x)
+    kind, p = fit(x, n)
     return _ppf(kind, percent, p), _ppf(kind, 1 - percent, p)

@@ -3,9 +3,10 @@
 import datetime
 from collections import Counter
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
+from pairloom.functions import thresholds
 from pairloom.operators import background, network
 from pairloom.plans import catalog
 
@@ -83,3 +84,14 @@ def test_background_of_fifty_shuffles(spark, golden, monkeypatch, name, exact):
     monkeypatch.setattr(background, "directed_counts", lambda s, w, extra: seen.update(dict.fromkeys(r.seed for r in s.select("seed").distinct().collect())) or golden.limit(0).selectExpr("0 as seed", "name as name1", "name as name2", "start as n"))
     catalog.QUERIES[name](spark, "")
     assert set(seen) == set(range(50))
+
+
+def test_fit_of_many_equal_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full(11_000, 0.5), rng.normal(5, 2, 9_000)])
+    table = spark.createDataFrame([(float(v),) for v in x], "v double")
+    kind, p = thresholds.fit(x)
+    assert thresholds.threshold(table, "v") == pytest.approx((thresholds._ppf(kind, 0.05, p), thresholds._ppf(kind, 0.95, p)), rel=1e-3)
+    for y in (x, x[:11_001], x[10_990:11_010]):
+        v, n = np.unique(y, return_counts=True)
+        assert thresholds.fit(v, n)[0] == thresholds.fit(y)[0]
