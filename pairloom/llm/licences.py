@@ -123,12 +123,15 @@ def verify(words: list[bytes], spans: list[dict], patterns: list) -> tuple[list[
                     base.append((d, d + len(pattern), label))
             continue
         merged: list[list[int]] = []
+        reached: list[list[int]] = []
         for s in sorted(rows, key=lambda s: (s["first"], s["diagonal"])):
-            m = merged[-1] if merged else None
-            if m and abs(s["diagonal"] - m[2]) <= GAP and s["first"] <= m[1] + k + GAP:
+            reached = [m for m in reached if s["first"] <= m[1] + k + GAP]
+            m = min(reached, key=lambda m: abs(s["diagonal"] - m[2]), default=None)
+            if m and abs(s["diagonal"] - m[2]) <= GAP:
                 m[1], m[2] = max(m[1], s["last"] + k), s["diagonal"]
             else:
                 merged.append([s["first"], s["last"] + k, s["diagonal"]])
+                reached.append(merged[-1])
         for a, b, _ in merged:
             a, b = max(0, a - GAP), min(len(words), b + GAP)
             share = common(words[a:b], pattern) / len(pattern)

@@ -279,6 +279,21 @@ def test_near_contamination(spark, tmp_path, monkeypatch):
     assert Counter(whole.drop("n_near").collect()) == Counter(exact.collect())
 
 
+def test_notice_with_an_inserted_word():
+    patterns = licences.templates()
+    number, label, notice, k = next(x for x in patterns if x[1] == "apache-2.0-notice")
+    grams = lambda words: licences.rolling(licences.word_hashes([words])[0], k).tolist()
+    for at in range(1, len(notice)):
+        words = notice[:at] + [b"zzz"] + notice[at:]
+        by = {}
+        for pos, h in enumerate(grams(words)):
+            for place, g in enumerate(grams(notice)):
+                if g == h:
+                    by.setdefault(pos - place, []).append(pos)
+        spans = [{"template": number, "diagonal": d, "first": min(p), "last": max(p)} for d, p in by.items()]
+        assert label in {x[2] for x in licences.verify(words, spans, patterns)[1]}, at
+
+
 def test_licences(spark, odd, none):
     text = [
         "Released under the MIT License. mit license, CC-BY 4.0 and cc by",
