@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Bytes of text that one step of a Python operator handles at a time.
 STEP_BYTES = 4 << 20
@@ -36,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """The id column as a long. Ids of another kind raise, since a cast would turn them into nulls."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{name} is {kind.simpleString()}; ids must be whole numbers")
+    return F.col(name).cast("long").alias(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to executors that could not import it from their own path."""
     root = Path(__file__).resolve().parents[2]
