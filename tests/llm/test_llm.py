@@ -74,19 +74,24 @@ def test_perfect_hash():
         idstore.PerfectHash.build(np.array([1, 1]))
 
 
+def brute_ids(rows):
+    """(doc_id, start, n_tokens, crc) of each row of (doc_id, text), with the end id, in the store's order."""
+    tok = tokens.load(tokens.vocabulary_path())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode()) >> 1))
+    start, out = 0, []
+    for d, t, *_ in order:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
 def test_id_store(spark, odd, none, tmp_path, monkeypatch):
     monkeypatch.setattr(idstore, "DOCS_PER_SHARD", 3)
     monkeypatch.setattr(idstore, "DOCS_PER_INDEX", 2)
     entries, files = idstore.write_ids(odd, f"file://{tmp_path}")
-    tok = tokens.load(tokens.vocabulary_path())
-    rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
-    start, want = 0, {}
-    for d, t, *_ in rows:
-        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
-        want.setdefault(d, (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in idstore.read_back(odd, f"file://{tmp_path}", files).collect()}
-    assert got == {d: v for d, v in want.items() if d is not None}
+    got = [tuple(r) for r in idstore.read_back(entries, f"file://{tmp_path}", files).collect()]
+    assert Counter(got) == Counter(brute_ids(ODD)) and len(got) == len(ODD)
     folder = idstore.IdFolder(f"file://{tmp_path}", files)
     assert folder.get(3).tolist() == [2] and folder.get(999) is None
     at = tmp_path / "none"
@@ -95,6 +100,61 @@ def test_id_store(spark, odd, none, tmp_path, monkeypatch):
     assert entries.count() == 0 and idstore.read_back(none, f"file://{at}", files).count() == 0
 
 
+def test_id_store_repeated_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "DOCS_PER_SHARD", 3)
+    monkeypatch.setattr(idstore, "DOCS_PER_INDEX", 4)
+    r = random.Random(21)
+    rows = [(r.choice([None, 5, 5, 5, 7, k]), " ".join(r.choice(["the", "of", "word", "é"]) for _ in range(r.randint(0, 5)))) for k in range(60)] + [(5, None), (None, None), (0, "zero"), (-1, "minus")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_ids(rows)
+    entries, files = idstore.write_ids(df, f"file://{tmp_path}")
+    assert entries.where("doc_id = 5").select("shard").distinct().count() > 1
+    got = [tuple(x) for x in idstore.read_back(entries, f"file://{tmp_path}", files).collect()]
+    assert Counter(got) == Counter(want)
+    folder, seen = idstore.IdFolder(f"file://{tmp_path}", files), Counter()
+    for d, start, n, crc in want:
+        ids = folder.get(d, seen[d])
+        assert len(ids) == n and zlib.crc32(ids.astype("<u4").tobytes()) == crc and int(folder.find(d, seen[d])["start"]) == start
+        seen[d] += 1
+    assert all(folder.get(d, n) is None for d, n in seen.items())
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(tuple(x) for x in registry.op7_token_ids(spark, str(tmp_path)).collect()) == Counter(want)
+
+
+def test_keyed_access_reads_little(spark, tmp_path):
+    keys = np.random.default_rng(2).integers(-(2**62), 2**62, 60_000)
+    ph = idstore.PerfectHash.build(keys)
+    records = np.zeros(len(keys), idstore.RECORD)
+    slot = ph.slots(keys)
+    records["print"][slot] = idstore.fingerprint(keys, np.zeros_like(keys))
+    records["start"][slot] = np.arange(len(keys))
+    store = idstore.Store(f"file://{tmp_path}")
+    store.write("idx-000000.mph", iter([*ph.dump(), records.tobytes()]))
+    folder, sizes = idstore.IdFolder(f"file://{tmp_path}", 1), []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            self.f.close()
+
+        def read(self, n):
+            sizes.append(n)
+            return self.f.read(n)
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    folder.store.open = lambda name, f=folder.store.open: Counted(f(name))
+    for k in range(0, len(keys), 997):
+        sizes.clear()
+        assert int(folder.find(int(keys[k]))["start"]) == k and sum(sizes) < 4096
+
+
 def hamming_groups(prints):
     n, least = len(prints), list(range(len(prints)))
 
