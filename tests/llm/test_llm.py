@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -409,6 +410,66 @@ def test_packing(odd, none):
     assert max(load.values()) <= 512 and packing.pack(none).count() == 0
 
 
+def test_best_fit_against_all_bins():
+    def brute(pieces, capacity):
+        bins, out = [], []
+        for n, s, c in pieces:
+            fit = [(capacity - x[0], k) for k, x in enumerate(bins) if x[0] + n <= capacity and x[0] < capacity and (s is None or s not in x[1]) and (c is None or c not in x[2])]
+            at = min(fit)[1] if fit else len(bins)
+            if at == len(bins):
+                bins.append([0, set(), set()])
+            bins[at][0] += n
+            bins[at][1].add(s)
+            bins[at][2].add(c)
+            out.append(at)
+        return out
+
+    r = random.Random(17)
+    for _ in range(150):
+        capacity = r.choice([1, 2, 7, 64, 100])
+        pieces = [(r.randint(0, capacity), r.choice([None, "x", "x", "y", str(r.random())]), r.choice([None, *range(r.choice([2, 40]))])) for _ in range(r.randint(0, 250))]
+        assert packing.best_fit(pieces, capacity) == brute(pieces, capacity)
+
+
+@pytest.mark.parametrize("piece", [(0, None, "c"), (1, "s", None), (0, "s", "c")])
+def test_best_fit_of_conflicts_only(piece):
+    began = time.process_time()
+    assert packing.best_fit([piece] * packing.CELL_PIECES, 2048) == list(range(packing.CELL_PIECES))
+    assert time.process_time() - began < 5
+
+
+def test_packing_in_full(spark):
+    r = random.Random(18)
+    rows = [(r.choice([None, *range(300)]), r.choice([None, "", "Twin", "twin", " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 700)))]), r.choice(["hot", "hot", "b", "c", None, str(r.random())])) for _ in range(700)]
+    rows += [(None, None, None)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    capacity, tok = 256, tokens.load(tokens.vocabulary_path())
+    got = packing.pack(df, capacity, cell_pieces=200).collect()
+    want = Counter()
+    for d, t, _ in rows:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        for j in range(max(1, -(-n // capacity))):
+            want[d, j, j * capacity, min(capacity, n - j * capacity)] += 1
+    assert Counter((x.doc_id, x.piece, x.first, x.n_tokens) for x in got) == want
+    # what a bin holds is told by its rows, so put the source and text into the id
+    ids = {}
+    named = [(ids.setdefault((t, s, k), len(ids)), t, s) for k, (_, t, s) in enumerate(rows)]
+    back = {i: ((t or "").lower(), s) for (t, s, _), i in ids.items()}
+    frame = spark.createDataFrame(named, "doc_id long, text string, source string")
+    bins = {}
+    for x in packing.pack(frame, capacity, cell_pieces=200).collect():
+        bins.setdefault(x.bin_id, []).append((x.n_tokens, *back[x.doc_id]))
+    for b in bins.values():
+        sources = [s for _, _, s in b if s is not None]
+        assert sum(n for n, _, _ in b) <= capacity and len({t for _, t, _ in b}) == len(b) and len(set(sources)) == len(sources)
+    # the files of the input don't matter
+    assert Counter(packing.pack(df.repartition(7), capacity, cell_pieces=200).collect()) == Counter(got)
+    # bins are well filled where nothing conflicts
+    free = spark.createDataFrame([(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 100))) + f" {k}", None) for k in range(1500)], "doc_id long, text string, source string")
+    out = packing.pack(free, capacity).collect()
+    assert sum(x.n_tokens for x in out) / capacity / len({x.bin_id for x in out}) > 0.98
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     rows, k = [], 0
