@@ -26,15 +26,19 @@ from pairloom.llm.common import column, map_texts
 
 # blocks
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style template noframes iframe object svg math canvas audio video".split())
+#: Elements whose content is not text of the page. Of one that is never closed only the tag goes, but scripts and styles go on to the end.
+RAW = frozenset("script style template noframes iframe object svg math canvas audio video title".split())
+ENDLESS = frozenset("script style".split())
+#: What stands in a head; anything else ends one that was left open.
+HEAD = frozenset("head title meta link script style base noscript template".split())
+#: Innermost elements that a path holds at most.
+DEEPEST = 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes, if it is open in the same container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"p", "li", "dt", "dd", "tr", "td", "th", "option"}}
@@ -50,77 +54,189 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Scanner:
+    """The ends of tags of a page. Every search that finds nothing is made once, so a page is read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name or attributes go on at `at`, -1 if there is none.
+
+        A quoted value may hold >. A quote that opens no value, or is never closed, is a character like any other.
+        """
+        if at > self.last:
+            return -1
+        k = at
+        while self.quotes:
+            m = _EDGE.search(self.page, k)
+            if not m:
+                # all that follows is quoted; from here on quotes are taken for characters
+                self.quotes = False
+                break
+            k = m.end()
+            if m[0] == ">":
+                return k - 1
+            if k <= self.last_quote[m[0]] and self.page[max(at, k - 64) : k - 1].rstrip().endswith("="):
+                k = self.page.find(m[0], k) + 1
+        return self.page.find(">", at)
+
+    def close(self, name: str, at: int) -> int:
+        """Where the page goes on after the closing tag of an element without text, -1 if there is no such tag."""
+        if name in self.unclosed:
+            return -1
+        m = _CLOSE[name].search(self.page, at, self.last + 1)
+        if not m:
+            self.unclosed.add(name)
+            return -1
+        return m.end()
+
+
+_EDGE = re.compile(r"[>\"']")
+_OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: References to numbers so long that they are no character.
+_LONG = re.compile(r"&#(?:(\d{8,})|[xX]([0-9a-fA-F]{7,}));?")
+
+
+def _short(m: re.Match) -> str:
+    digits = (m[1] or m[2]).lstrip("0")
+    return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[2] else ''}{digits or '0'};"
+
+
+def decoded(text: str) -> str:
+    """The text with its character references decoded."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG.sub(_short, text))
+
+
+class _Stack:
+    """The open elements, outermost first, with the places of each name, of those that bound a closing, and of blocks."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.blocks: list[tuple[str, tuple[str, ...]]] = []
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        if name in BARRIER:
+            self.barriers.append(len(self.open))
+        self.open.append((name, names))
+        if name in BLOCK:
+            self.blocks.append(self.open[-1])
+
+    def cut(self, to: int) -> None:
+        """Close all elements from place `to` on."""
+        while len(self.open) > to:
+            name, _ = self.open.pop()
+            self.at[name].pop()
+            if name in BARRIER:
+                self.barriers.pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of this name, -1 if there is none."""
+        at = self.at.get(name)
+        return at[-1] if at else -1
+
+    def path(self) -> tuple:
+        return tuple(self.blocks[-DEEPEST:])
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; white space inside a block is one space, character references are decoded.
 
-    Scripts, styles, comments and the head are no blocks. Tags may be left open, closed twice or cut off.
+    Scripts, styles, comments, titles and the head are no blocks. Tags may be left open, closed twice or cut off: a
+    head ends at the first thing that can't stand in one, and a < that begins no tag is text. The time is linear in
+    the length of the page.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, scan = _Stack(), _Scanner(page)
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     path: tuple | None = None
 
     def end() -> None:
         nonlocal parts, linked, path
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(t == "head" for t, _ in path or ()):
+            text = " ".join(decoded("".join(parts)).split())
+            if text:
                 out.append(Block(path or (), text, min(linked, len(text))))
             parts, linked, path = [], 0, None
 
+    def put(raw: str) -> None:
+        nonlocal linked, path
+        if path is None and raw.strip():
+            if stack.last("head") >= 0:
+                stack.cut(stack.last("head"))
+            path = stack.path()
+        parts.append(raw)
+        if stack.at.get("a"):
+            linked += len(raw)
+
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            raw = m[0]
-            if raw[0] != "<" or raw == "<":
-                if path is None and raw.strip():
-                    path = tuple(x for x in stack if x[0] in BLOCK)
-                parts.append(raw)
-                if links:
-                    linked += len(raw)
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = n if to < 0 else to
+            put(page[at:to])
+            at = to
+            continue
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 2)
+            at = n if to < 0 else to + 3
+            continue
+        m = _OPEN.match(page, at + 1)
+        if not m:
+            to = page.find(">", at) if page[at + 1 : at + 2] in ("!", "?") and at < scan.last else -1
+            if to < 0:
+                put("<")
+            at = at + 1 if to < 0 else to + 1
             continue
-        name = name.lower()
+        to = scan.end(m.end())
+        if to < 0:
+            put("<")
+            at += 1
+            continue
+        name, rest, at = m[2].lower(), page[m.end() : to], to + 1
         if m[1]:
             if name in BLOCK:
                 end()
-            if any(t == name for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == name:
-                        break
+            if stack.last(name) >= 0:
+                stack.cut(stack.last(name))
             elif name == "br":
                 parts.append(" ")
             continue
+        head = stack.last("head")
+        if head >= 0 and name not in HEAD:
+            end()
+            stack.cut(head)
         if name in RAW:
             if name in BLOCK:
                 end()
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close and not m[3].endswith("/") else at if m[3].endswith("/") else n
+            if not rest.endswith("/"):
+                to = scan.close(name, at)
+                at = to if to >= 0 else n if name in ENDLESS else at
             continue
         if name in BLOCK:
             end()
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t in CLOSES.get(name, ()):
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if t in BARRIER:
-                    break
+            k = max((stack.last(t) for t in CLOSES.get(name, ())), default=-1)
+            if k >= 0 and (not stack.barriers or k >= stack.barriers[-1]):
+                stack.cut(k)
             if name == "body":
-                stack = [x for x in stack if x[0] == "html"]
+                stack.cut(1 if stack.open and stack.open[0][0] == "html" else 0)
         elif name == "br":
             parts.append(" ")
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
-        names = tuple(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall(a[2] or a[3] or a[4] or "")) if m[3] else ()
-        stack.append((name, names))
-        links += name == "a"
+        names = tuple(w.lower() for a in _ATTRIBUTE.finditer(rest) for w in _NAME.findall(a[2] or a[3] or a[4] or "")) if rest else ()
+        stack.push(name, names)
     end()
     return out
 
@@ -515,8 +631,8 @@ def main_text(w: dict, pages: list[str]) -> list[str]:
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, from the whole html. No shuffle; one row per input row.
 
-    A null or empty html, and a page without article, have an empty text. Null ids and urls and repeated rows are kept
-    as they are; other columns are not read.
+    A null or empty html, and a page without article, have an empty text; an empty table gives no rows. Null ids and
+    urls and repeated rows are kept as they are; other columns, one named text among them, are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or trained())
 

@@ -550,6 +550,62 @@ def test_blocks():
     assert pages.blocks("") == [] and pages.blocks("<p") and pages.blocks("<!-- open") == []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>T</title><p>real text<p>more", ["real text", "more"]),
+        ("<head><meta a=b>text at once", ["text at once"]),
+        ("<html><head><title>a<b</title></head><body>x", ["x"]),
+        ("<p>a</p><svg><g>x<p>more", ["a", "x", "more"]),
+        ("<object data=x><p>fallback<p>y", ["fallback", "y"]),
+        ("<canvas><video src=a><p>z", ["z"]),
+        ("<svg>in</svg >out <video>in</VIDEO>too", ["out too"]),
+        ("<style>x<p>y", []),
+        ('<p class="x>Hello</p><p>b', ["Hello", "b"]),
+        ("<a title=it's>link</a> and 'x' <b>y</b>", ["link and 'x' y"]),
+        ('<p title="a>b" x=\'>\'>c', ["c"]),
+        ("a < b <3 <!doctype <p>q", ["a < b <3 q"]),
+        ("&#" + "9" * 6000 + "; &#x" + "f" * 5000 + " &#0000000000065; &#x41;", ["\ufffd \ufffd A A"]),
+    ],
+)
+def test_odd_tags(page, want):
+    assert [b.text for b in pages.blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<h1>x", "<p><td>", "<svg>x", '<a x="', "<a x='>\" ", "<a class = ", "&#9", "<body>x", "</svg ", "<", "<!x", "<svg> > </svg "])
+def test_long_broken_pages(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pages.blocks(page)
+    pages.blocks("<svg>" + page)
+    assert time.process_time() - began < 15
+
+
+def test_label_is_the_recurrence():
+    """The batched network against one block at a time, and a page alone against the page among others."""
+    w = {k: v.astype(float) for k, v in pages.new_weights(np.random.default_rng(3)).items()}
+    layouts = pages.Layouts(4)
+    data = [layouts.page()[0] for _ in range(5)]
+    h = pages.HIDDEN
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for got, page in zip(pages.label(w, data), data, strict=True):
+        x = []
+        for i, b in enumerate(page):
+            words = [w["word"][xxhash.xxh64_intdigest(t, 2) % pages.WORDS] for t in b.text.lower().split()]
+            path = [w["path"][k] for k in pages.path_features(b.path)]
+            x.append(np.concatenate([np.sum(path, 0) if path else np.zeros(pages.PATH_DIM), np.mean(words, 0) if words else np.zeros(pages.WORD_DIM), pages.measures(b, i / len(page))]))
+        states = {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            s, c = np.zeros(h), np.zeros(h)
+            for i in order:
+                z = x[i] @ w["x" + d] + s @ w["h" + d] + w["c" + d]
+                c = sig(z[h : 2 * h]) * c + sig(z[:h]) * np.tanh(z[3 * h :])
+                s = sig(z[2 * h : 3 * h]) * np.tanh(c)
+                states[d, i] = s
+        want = [sig(np.concatenate([states["f", i], states["b", i], x[i]]) @ w["out"] + w["bias"][0]) for i in range(len(x))]
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in pages.new_weights(rng).items()}
