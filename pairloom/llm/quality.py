@@ -126,8 +126,10 @@ def sigmoid(x):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, epochs: int = 4) -> tuple[np.ndarray, float]:
     """(weights, bias) from at most `most` labelled documents outside the held-out fold; without any, all zero.
 
-    Executors turn texts into sparse features, the driver receives only those and passes over them in an order that
-    the hash of their content fixes.
+    Rows with a null id or label are left out, null and empty texts have no feature but the bias, of labels that
+    repeat an id the smallest counts, of texts that repeat one the smallest. Executors turn texts into sparse
+    features, the driver receives only those and passes over them in an order that a hash of doc_id fixes, so equal
+    tables give equal weights.
     """
     if "doc_id" not in labels.columns or label not in labels.columns:
         raise ValueError(f"labels need doc_id and {label}")
@@ -170,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for whole texts. No shuffle; one row per input row.
 
-    Null and empty texts score as the bias alone. A null id has held_out null. Repeated rows score alike; other
-    columns are not read.
+    Null and empty texts score as the bias alone. A null id has held_out null. Repeated rows score alike; an empty
+    table gives no rows; other columns are not read.
     """
     weights, bias = docs.sparkSession.sparkContext.broadcast(np.asarray(model[0], np.float32)), model[1]
 
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least `cut`."""
+    """The rows of docs, with all their columns, that score at least `cut`; null ids and repeated rows as any, null and empty texts by the bias alone."""
     weights, bias = docs.sparkSession.sparkContext.broadcast(np.asarray(model[0], np.float32)), model[1]
 
     def work(batch, texts):

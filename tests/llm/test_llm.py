@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -544,6 +545,112 @@ def test_classifiers(spark, odd, none):
     assert found and np.mean([any(w in r.sentence.lower() for w in ("vile", "nasty", "rotten")) for r in found]) > 0.9
 
 
+class DenseFtrl:
+    """FTRL-Proximal coordinate by coordinate, from the paper's update."""
+
+    def __init__(self, size, alpha, beta, l1, l2):
+        self.z, self.n = [0.0] * size, [0.0] * size
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+
+    def w(self, i):
+        if abs(self.z[i]) <= self.l1:
+            return 0.0
+        return -(self.z[i] - math.copysign(self.l1, self.z[i])) / ((self.beta + math.sqrt(self.n[i])) / self.alpha + self.l2)
+
+    def step(self, g):
+        for i, x in g.items():
+            w, s = self.w(i), (math.sqrt(self.n[i] + x * x) - math.sqrt(self.n[i])) / self.alpha
+            self.z[i] += x - s * w
+            self.n[i] += x * x
+
+
+def test_learner_of_quality(spark):
+    size = 1 << quality.BITS
+    docs, labels, truth = labelled(spark, 60)
+    w, bias = quality.fit(docs, labels, epochs=2)
+    learner, feats = DenseFtrl(size + 1, 0.3, 1.0, 0.02, 0.1), {}
+    rows = sorted((r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1), key=lambda r: xxhash.xxh64_intdigest(str(r.doc_id)))
+    for r in rows:
+        fams, _, n = quality.features([r.text.encode()])
+        feats[r.doc_id] = {i: quality.SCALE * c / n[0] for i, c in Counter(np.concatenate(fams).tolist()).items()} | {size: 1.0}
+    for _ in range(2):
+        for r in rows:
+            x = feats[r.doc_id]
+            p = 1 / (1 + math.exp(-sum(learner.w(i) * v for i, v in x.items())))
+            learner.step({i: (p - truth[r.doc_id][0]) * v for i, v in x.items()})
+    assert np.allclose(w, [learner.w(i) for i in range(size)], atol=1e-5) and bias == pytest.approx(learner.w(size), abs=1e-5)
+    got = {r.doc_id: r.score for r in quality.score(docs, (w, bias)).collect()}
+    for r in rows:
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-sum(learner.w(i) * v for i, v in feats[r.doc_id].items()))), abs=1e-4)
+
+
+def test_learner_of_toxicity():
+    r = random.Random(23)
+    examples = [([r.randrange(20) for _ in range(n)], sorted(r.randrange(3) for _ in range(n)), r.randrange(2)) for n in (r.randint(0, 12) for _ in range(50))]
+    settings = toxicity.Settings((), 1.0, 0.05, 0.0, 3)
+    got = toxicity.learn([(np.array(i, np.int64), np.array(s, np.int64), y) for i, s, y in examples], settings)
+    learner, bias, seen = DenseFtrl(20, 1.0, 1.0, 0.05, 0.0), toxicity.PRIOR, 1.0
+    for _ in range(3):
+        for i, s, y in examples:
+            if not i:
+                continue
+            # every place of an index counts; a sentence without words has the bias alone, up to the last with one
+            p = [1 / (1 + math.exp(-(bias + sum(learner.w(a) for a, b in zip(i, s) if b == k)))) for k in range(max(s) + 1)]
+            clean = math.prod(1 - x for x in p)
+            g = [-x * clean / (1 - clean) if y else x for x in p]
+            grad = {}
+            for a, b in zip(i, s):
+                grad[a] = grad.get(a, 0) + g[b]
+            learner.step(grad)
+            seen += sum(g) ** 2
+            bias -= 0.3 * sum(g) / math.sqrt(seen)
+    assert np.allclose(got.weights[:20], [learner.w(i) for i in range(20)]) and got.bias == pytest.approx(bias)
+
+
+def test_sentences_located(spark):
+    index = lambda w: xxhash.xxh64_intdigest(w.encode(), 9) >> (64 - toxicity.BITS)
+    weights = np.zeros((1 << toxicity.BITS) + 1)
+    weights[index("bad")], weights[index("odd")] = 7.0, 5.8
+    model = toxicity.Model(weights, -7.0, ())
+    rows = [
+        (1, "Bad one.\u00a0Good one. x"),  # a no-break space ends no word
+        (2, "All good.\n\nÜber bad thing! (So bad.) Fine\x00bad"),
+        (3, "odd one. odd two."),
+        (4, None),
+        (5, ""),
+        (None, "bad"),
+        (6, "bad\nbad line\r\n end"),
+        (6, "bad\nbad line\r\n end"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.locate(df, model).collect()
+    texts = {}
+    for x in found:
+        texts.setdefault(x.doc_id, []).append(x.sentence)
+    assert {d: sorted(t) for d, t in texts.items()} == {1: ["Bad one.\u00a0Good one."], 2: sorted(["Über bad thing!", "(So bad.)", "Fine\x00bad"]), 3: ["odd one."], None: ["bad"], 6: ["bad", "bad", "bad line", "bad line"]}
+    scored = toxicity.score(df, model).collect()
+    whole = dict(rows)
+    assert Counter((r.doc_id, whole[r.doc_id][o.start : o.end]) for r in scored for o in r.offending) == Counter((x.doc_id, x.sentence) for x in found)
+    assert all(r.n_offending == len(r.offending) for r in scored) and sum(r.n_offending for r in scored) == len(found)
+    # sentence by sentence, the noisy-or by hand
+    for r in scored:
+        words = [[re.sub(r"^\W+|\W+$", "", w).lower() for w in s] for s in (re.split(r"[ \x00\r]+", t) for t in re.split(r"(?<=[.!?])\s|(?<=[.!?]\))\s|\n", (whole[r.doc_id] or "").replace("\u00a0", "_")))]
+        if r.doc_id in (3, 6, None):
+            p = [1 / (1 + math.exp(7 - 7 * ("bad" in s) - 5.8 * ("odd" in s))) for s in words if {"bad", "odd"} & set(s)]
+            assert r.score == pytest.approx(1 - math.prod(1 - x for x in p), abs=1e-6)
+
+
+def test_choice_reads_learnable_rows_only(spark):
+    from pairloom.llm import choose_toxicity
+
+    docs, labels, truth = labelled(spark, 300)
+    train, check = choose_toxicity.learnable(docs, labels)
+    ids = [r.doc_id for r in train.union(check).collect()]
+    assert ids and len(set(ids)) == len(ids) and all(zlib.crc32(str(d).encode()) % 4 != 2 for d in ids)
+    best = choose_toxicity.choose(docs, labels, [toxicity.CHOSEN, toxicity.Settings(epochs=1, l1=50.0)])
+    assert best[0][3] == toxicity.CHOSEN and best[0][0] < best[1][0] and best[0][2] == check.count()
+
+
 def test_blocks():
     page = "<head><title>T</title><style>p{}</style></head><body><p>a &amp; b<br>c<p><b>x</p></i></div><ul><li>1<li>2</ul><!-- <p>no</p> --><script>if (a<b) '</p>'</script>1 < 2 <table><tr><td>u<td>v</table>end &lt;p&gt; &am"
     assert [b.text for b in pages.blocks(page)] == ["a & b c", "x", "1", "2", "1 < 2", "u", "v", "end <p> &am"]
