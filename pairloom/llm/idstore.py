@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import column, long_id, map_texts, saved, scratch, ship
-from pairloom.llm.tokens import encoder
+from pairloom.llm.tokens import encoder, shared_proof
 
 IDS_MAGIC, MPH_MAGIC = b"PLID0001", b"PLMP0002"
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -250,8 +250,10 @@ def write_ids(docs: DataFrame, at: str, vocabulary: str | None = None, end_id: i
     at_ranks = [i / shards for i in range(1, shards)]
     cuts = np.array(sorted(ids.agg(F.percentile_approx("doc_id", at_ranks, 10 * shards)).first()[0] or []) if at_ranks else [], np.int64)
 
+    whole = shared_proof(spark, vocabulary)
+
     def work(batch, texts):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, whole)
         end = np.array([end_id], enc.dtype).tobytes()
         raw = [x + end for x in enc.encode(texts)]
         d = column(batch, "doc_id")

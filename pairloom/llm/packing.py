@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import column, long_id, map_texts, saved, ship
-from pairloom.llm.tokens import encoder
+from pairloom.llm.tokens import encoder, shared_proof
 
 CAPACITY = 2048
 CELL_TOKENS = 2_000_000
@@ -173,8 +173,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(long_id(docs), source.alias("source"), (F.xxhash64(F.lower(text)) if cluster is None else cluster).cast("string").alias("cluster"), F.xxhash64(text).alias("h"), "text")
 
+    whole = shared_proof(docs.sparkSession, vocabulary)
+
     def cut(batch, texts):
-        n = encoder(vocabulary).count(texts)
+        n = encoder(vocabulary, whole).count(texts)
         keep, piece, size = [], [], []
         for i, k in enumerate(n):
             for j in range(max(1, -(-k // capacity))):

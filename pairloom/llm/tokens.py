@@ -1,8 +1,9 @@
 """Token counts (operator 1): whole-token shortcut over a word-level BPE vocabulary.
 
-Offline, `prove_whole` encodes every vocabulary string on its own and keeps those that come back as that single
-token. A pre-token found among them counts one token without any merging; only the rest goes through the merges of
-the tokenizers library, each distinct pre-token once per cache generation.
+Before a job, `prove_whole` encodes every vocabulary string on its own on the driver and keeps those that come back as
+that single token; the workers get the proof ready-made. A pre-token found among them counts one token without any
+merging; only the rest goes through the merges of the tokenizers library, each distinct pre-token once per cache
+generation.
 
 Why words can be handled on their own: the vocabulary's pre-tokenizer drops white space, so no token spans it, and
 neither NFC nor lower-casing reaches across it. Lower-casing A-Z first changes nothing, since NFC followed by
@@ -18,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import column, held, map_texts
@@ -51,11 +52,32 @@ def load(path: str):
 
 
 def prove_whole(tokenizer) -> dict[bytes, int]:
-    """ASCII pre-tokens that encode alone as one token: each candidate is encoded and kept only if exactly its own id comes back."""
-    ends = [(s[:-4], i) for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")]
-    ends = [(s, i) for s, i in ends if s.isascii() and (m := _PRE.fullmatch(s.encode())) and m[0] == s.encode()]
-    found = tokenizer.encode_batch([s for s, _ in ends], add_special_tokens=False)
-    return {s.encode(): i for (s, i), e in zip(ends, found, strict=True) if e.ids == [i]}
+    """The vocabulary's strings, in any script, that encode alone as one token: each is encoded and kept only if exactly its own id comes back.
+
+    A string of a-z, digits and marks must be one pre-token as well, since such words are looked up by pre-token.
+    """
+    from tokenizers import decoders
+
+    text = decoders.ByteLevel().decode  # the vocabulary spells bytes as characters
+    spelt = [(text([s[:-4]]), i) for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")]
+    spelt = [(s, i) for s, i in spelt if (not s.isascii() or (m := _PRE.fullmatch(s.encode())) and m[0] == s.encode())]
+    found = tokenizer.encode_batch([s for s, _ in spelt], add_special_tokens=False)
+    return {s.encode(): i for (s, i), e in zip(spelt, found, strict=True) if e.ids == [i]}
+
+
+@lru_cache(maxsize=2)
+def proof(path: str) -> dict[bytes, int]:
+    """prove_whole of a vocabulary file, made once in a process."""
+    return prove_whole(load(path))
+
+
+def shared_proof(spark: SparkSession, path: str | None = None):
+    """The proof made on the driver, once for a session and vocabulary, as a broadcast. It has an entry per whole token at most, whatever the corpus."""
+    sc, path = spark.sparkContext, vocabulary_path(path)
+    made = sc.__dict__.setdefault("_pairloom_proofs", {})
+    if path not in made:
+        made[path] = sc.broadcast(proof(path))
+    return made[path]
 
 
 class _Numbers(dict):
@@ -77,14 +99,14 @@ class WordEncoder:
     The empty text has no ids. Ids are uint16 bytes where the vocabulary allows it, else uint32.
     """
 
-    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS, whole: dict[bytes, int] | None = None):
         self.tokenizer = load(vocabulary_path(path))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.cache_words = cache_words
-        self.whole = prove_whole(self.tokenizer)
+        self.whole = proof(vocabulary_path(path)) if whole is None else whole
         self._reset()
 
     def _reset(self) -> None:
@@ -219,9 +241,9 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str | None = None) -> WordEncoder:
-    """The worker process's encoder, whose cache outlives a task."""
-    return held(("tokens", path), lambda: WordEncoder(path))
+def encoder(path: str | None = None, whole=None) -> WordEncoder:
+    """The worker process's encoder, whose cache outlives a task. `whole` is the broadcast of shared_proof."""
+    return held(("tokens", path), lambda: WordEncoder(path, whole=whole and whole.value))
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,8 +253,10 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str | None = No
     `docs` are not read. An empty table gives no rows.
     """
 
+    whole = shared_proof(docs.sparkSession, vocabulary)
+
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
-        n = encoder(vocabulary).count(texts)
+        n = encoder(vocabulary, whole).count(texts)
         return {
             "id": column(batch, "id"),
             "n_bytes": pa.array([len(t) for t in texts], pa.int64()),

@@ -67,6 +67,17 @@ def test_encoder_equals_library():
         assert enc.count([t.encode() for t in part]) == [len(x) for x in want]
 
 
+def test_proof():
+    tok = tokens.load(tokens.vocabulary_path())
+    whole = tokens.proof(tokens.vocabulary_path())
+    other = [w for w in whole if not w.isascii()]
+    assert len(whole) > 30_000 and len(other) > 100 and b"the" in whole
+    assert all(tok.encode(w.decode(), add_special_tokens=False).ids == [whole[w]] for w in (*other, *list(whole)[::50]))
+    enc = tokens.WordEncoder()
+    texts = [b" ".join(other[k : k + 50]) for k in range(0, len(other), 50)]
+    assert enc.count(texts) == [len(tok.encode(t.decode(), add_special_tokens=False).ids) for t in texts]
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
     h = idstore.PerfectHash.build(keys)
@@ -356,6 +367,26 @@ def test_notice_with_an_inserted_word():
         assert label in {x[2] for x in licences.verify(words, spans, patterns)[1]}, at
 
 
+def test_notice_with_replaced_words():
+    patterns = licences.templates()
+    number, label, notice, k = next(x for x in patterns if x[1] == "mit-text")
+    grams = lambda words: licences.rolling(licences.word_hashes([words])[0], k).tolist()
+    r = random.Random(19)
+    for _ in range(200):
+        words = notice[:]
+        at, of = r.randrange(len(words) - 4), r.randrange(len(words) - 4)
+        words[at : at + 4] = notice[of : of + 4]
+        words.insert(r.randrange(len(words)), b"zzz")
+        by = {}
+        for pos, h in enumerate(grams(words)):
+            for place, g in enumerate(grams(notice)):
+                if g == h:
+                    by.setdefault(pos - place, []).append(pos)
+        spans = [{"template": number, "diagonal": d, "first": min(p), "last": max(p)} for d, p in by.items()]
+        found = {x[2] for x in licences.verify(words, spans, patterns)[1]}
+        assert label in found, (at, of)
+
+
 def test_licences(spark, odd, none):
     text = [
         "Released under the MIT License. mit license, CC-BY 4.0 and cc by",
