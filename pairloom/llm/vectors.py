@@ -73,9 +73,8 @@ def probes(unit: np.ndarray, tables: int = TABLES, turns: int = TURNS, count: in
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows with the two hashes of label and vector, and one row for each distinct vector that can link."""
     v = F.col("embedding")
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    valid = F.coalesce(F.when(fine, (norm > 0) & (norm < float("inf"))), F.lit(False))
+    valid = F.coalesce(F.when(fine, F.exists(v, lambda x: x != 0)), F.lit(False))
     rows = saved(
         vectors.select("vec_id", "label", "embedding").select(
             "vec_id", F.when(valid, F.xxhash64("label", "embedding")).alias("h1"), F.when(valid, F.xxhash64(F.lit(1), "label", "embedding")).alias("h2"), F.when(valid, F.col("label")).alias("label"), F.when(valid, v).alias("embedding")
@@ -92,8 +91,9 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(flat values as doubles, lengths) of a list column."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(column.offsets.to_numpy())
+    """(flat values as doubles, lengths) of a list column, each vector divided by its largest component so that no square overflows or vanishes."""
+    flat, n = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.diff(column.offsets.to_numpy())
+    return (flat / np.repeat(np.maximum.reduceat(np.abs(flat), np.cumsum(n) - n), n) if len(flat) else flat), n
 
 
 def links(classes: DataFrame, cosine: float = COSINE, tables: int = TABLES, turns: int = TURNS, count: int = PROBES) -> DataFrame:
@@ -148,7 +148,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Equal vectors of a label are one class, counted with its copies and never expanded into pairs. Rows whose id, label
     or vector is null, or whose vector is empty, zero or has null or non-finite components, link with nothing and are
     a component of their own (kept; where the id is null, component_id and kept are null). Rows that repeat an id
-    count as vectors of their own. Vectors of different lengths don't link.
+    count as vectors of their own. Vectors of different lengths don't link. An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     rows, classes = classes_of(vectors)
     pairs = saved(links(classes, cosine), "links")
