@@ -231,6 +231,30 @@ def test_hamming_links(spark):
     assert got == want and simhash.links(spark.createDataFrame([(s,) for s in signed], "f long")).count() == len(want)
 
 
+def test_refined_signatures(spark):
+    r = random.Random(31)
+    base = [r.getrandbits(64) for _ in range(25)]
+    prints = sorted({b ^ sum(1 << i for i in r.sample(range(64), k)) for b in base for k in (0, 1, 2, 2, 3, 4, 4, 5)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(s,) for s in signed], "f long")
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    got = [(x.a, x.b) for x in simhash.links(df, refine=True).collect()]
+    assert set(got) == want and len(got) == len(want)
+    of, least = hamming_groups(prints), {}
+    for g, f in zip(of, signed, strict=True):
+        least[g] = min(f, least.get(g, f))
+    for refine in (False, True):
+        assert {x.f: x.component for x in simhash.groups(df, refine=refine).collect()} == {f: least[g] for g, f in zip(of, signed, strict=True)}
+
+
+def test_dense_group_gives_few_links(spark):
+    """All fingerprints within two bits of one: 2,017 of them, over a million pairs within four bits."""
+    flips = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in (0x0123456789ABCDEF ^ f for f in flips)]
+    got = simhash.groups(spark.createDataFrame([(s,) for s in signed], "f long")).collect()
+    assert len(got) == len(signed) and {x.component for x in got} == {min(signed)}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(7, 7), (None, 3), (1, 0)]
@@ -533,6 +557,14 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    base = np.random.default_rng(3).normal(size=8)
+    rows = [(1, (base * 1e200).tolist(), 0, "x"), (2, (base * 1e-200).tolist(), 0, "x"), (2, base.tolist(), 0, "y"), (3, (-base).tolist(), 0, None), (4, base.tolist(), 1, "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cid string")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 16))
     y = vectors.hadamard(x)
