@@ -57,6 +57,13 @@ def match_column(genes: DataFrame, table: DataFrame) -> str:
     return cols[hits.i]
 
 
+def matched(genes: DataFrame, table: DataFrame, to: str) -> DataFrame:
+    """(gene): the genes, given under whichever of the table's names, under the name of its column `to`. Unknown ones are left out."""
+    by = match_column(genes, table)
+    g = genes.select(F.col("gene").cast("string").alias("_g")).distinct()
+    return table.where(F.col(to).isNotNull()).join(g, F.col(by).cast("string") == F.col("_g"), "left_semi").select(F.col(to).cast("string").alias("gene")).distinct()
+
+
 def closure(parents: DataFrame, rounds: int = 64) -> DataFrame:
     """(term, ancestor) of every term with all its ancestors, itself included, from (term, parent)."""
     base = parents.select("term", "parent").distinct()
@@ -77,7 +84,8 @@ def enrichment(genes: DataFrame, gene_terms: DataFrame, terms: DataFrame, backgr
     """Which terms the genes have more or less often than the background.
 
     `gene_terms` is (gene, term), `terms` is (term, aspect, depth, description). With `parents` (term, parent) a gene has all
-    ancestors of its terms. Per aspect: Fisher's exact test of two sides and Benjamini-Hochberg's correction.
+    ancestors of its terms. Per aspect: Fisher's exact test of two sides and Benjamini-Hochberg's correction. In an
+    aspect without any gene of the study every term has p 1.
     """
     owned = gene_terms.select("gene", "term").distinct()
     if parents is not None:
@@ -96,10 +104,13 @@ def enrichment(genes: DataFrame, gene_terms: DataFrame, terms: DataFrame, backgr
         return pd.Series([numerics.hypergeometric_two_sided(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, drawn, good, total, strict=True)])
 
     tested = per.join(sizes, "aspect").withColumn("p", fisher("count", "drawn", "good", "total"))
-    rank = F.row_number().over(W.partitionBy("aspect").orderBy("p", "term"))
+    # p-values that differ in their last digits only are ties
+    tie = F.round("p", 12)
+    rank = F.row_number().over(W.partitionBy("aspect").orderBy(tie, "term"))
     m = F.count(F.lit(1)).over(W.partitionBy("aspect"))
     tested = tested.withColumn("_q", F.col("p") * m / rank)
-    fdr = F.least(F.lit(1.0), F.min("_q").over(W.partitionBy("aspect").orderBy(F.desc("p"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)))
-    more = F.col("count") / F.col("drawn") > F.col("good") / F.col("total")
+    fdr = F.least(F.lit(1.0), F.min("_q").over(W.partitionBy("aspect").orderBy(tie.desc(), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)))
+    # multiplied out, since an aspect may have no gene of the study
+    more = F.col("count") * F.col("total") > F.col("good") * F.col("drawn")
     out = tested.withColumn("fdr", fdr).withColumn("direction", F.when(more, "increased").otherwise("decreased")).drop("_q").join(terms.drop("aspect"), "term", "left")
     return out.where(F.coalesce("depth", F.lit(0)) >= min_depth)

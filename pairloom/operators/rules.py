@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.operators.pairs import pair_counts, single_counts
+from pairloom.functions.storage import numbered
 from pairloom.schema import Window, need, one_of, pair_name
 
 N_BASKETS = 1_000_000
@@ -75,6 +76,11 @@ def simplify(rules: DataFrame, measure: str = "cosine") -> DataFrame:
     return rules.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def ranked(rules: DataFrame, measure: str = "cosine") -> DataFrame:
+    """The rules with their place in the order, from 1, as column rank; no rule passes through one task."""
+    return numbered(rules, ordering(measure), "_place").withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_place")
+
+
 def top(rules: DataFrame, n: int, measure: str = "cosine") -> DataFrame:
     """The first n rules."""
     return rules.orderBy(*ordering(measure)).limit(n)

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.storage import checkpointed, shared_folder
 from pairloom.operators import annotation, background, differential, distances, motifs, network, orientation, pairs, plotdata, rules, signals
 from pairloom.operators import sites as S
 from pairloom.plans import inputs as I
+from pairloom.plans import oracles as O
+from pairloom.plans.oracles import hist_sql
 from pairloom.schema import Window, stranded_names
 from pairloom.sources import files
 
@@ -34,6 +37,10 @@ def rounded(df: DataFrame, *cols: str, to: int = 9) -> DataFrame:
     return df
 
 
+def doubles_rounded(df: DataFrame, to: int = 6) -> DataFrame:
+    return rounded(df, *[c for c, kind in df.dtypes if kind == "double"], to=to)
+
+
 # sites
 
 register("site_scan", f"with {I.SITES} select site_id, contig, st as start, en as \"end\", name, score, strand from s")(lambda spark, d: I.sites(spark, d))
@@ -47,8 +54,8 @@ register("site_subset_regions", f"with {I.SITES}, {I.REGIONS} select site_id, na
 register("site_flag_regions", f"with {I.SITES}, {I.REGIONS} select site_id, exists (select 1 from r where r.contig = s.contig and s.en > r.st and s.st < r.en) as overlap from s")(
     lambda spark, d: S.flag_regions(I.sites(spark, d), I.regions(spark, d)).select("site_id", "overlap")
 )
-register("site_union", f"with {I.SITES} select contig, name, count(*) as n from (select * from s where site_id % 3 = 0 union all select * from s where site_id % 2 = 0) group by contig, name")(
-    lambda spark, d: S.union(I.sites(spark, d).where("site_id % 3 = 0"), I.sites(spark, d).where("site_id % 2 = 0")).groupBy("contig", "name").agg(F.count(F.lit(1)).alias("n"))
+register("site_union", f"with {I.SITES} select contig, name, count(*) as n from (select contig, name from s union all select contig, 'wide' from s) group by contig, name")(
+    lambda spark, d: S.union(I.sites(spark, d), S.widen(I.sites(spark, d), 50).withColumn("name", F.lit("wide"))).groupBy("contig", "name").agg(F.count(F.lit(1)).alias("n"))
 )
 register("site_widen", f"with {I.SITES} select site_id, greatest(st - 50, 0) as start, en + 50 as \"end\" from s")(lambda spark, d: S.widen(I.sites(spark, d), 50).select("site_id", "start", "end"))
 
@@ -73,6 +80,7 @@ walk as (select contig, name, k, site_id as kept, st as kst, en as ken, score as
 l as (select *, lead(kept) over (partition by contig, name order by k) as nk, lead(kst) over (partition by contig, name order by k) as nst from walk)
 select kept as site_id from l where nk is null or (nk <> kept and nst >= ken)"""
 register("site_keep_best", _BEST.format(sites=I.SITES))(lambda spark, d: S.keep_best(_long_sites(spark, d)).select("site_id"))
+register("site_keep_best_any", _BEST.format(sites=I.SITES).replace("contig, name", "contig").replace("n.contig = walk.contig and n.name = walk.name", "n.contig = walk.contig").replace("select contig, k,", "select contig, name, k,").replace("select n.contig, n.name", "select n.contig, n.name"))(lambda spark, d: S.keep_best(_long_sites(spark, d), per_name=False).select("site_id"))
 register(
     "site_label_overlap",
     f"""with {I.SITES}, o as (select a.name as n1, b.name as n2, sum(least(a.en, b.en) - greatest(a.st, b.st)) as shared_len from s a join s b on a.contig = b.contig and a.name < b.name and a.en > b.st and a.st < b.en group by 1, 2),
@@ -81,6 +89,85 @@ z as (select name, sum(en - st) as size from s group by name) select n1 as name1
 register("site_cluster_labels")(lambda spark, d: S.cluster_sites(I.sites(spark, d, contigs=4), threshold=0.00001).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
 register("site_bed_lines", f"with {I.SITES} select contig || chr(9) || st || chr(9) || en || chr(9) || name || chr(9) || strand as value from s")(lambda spark, d: files.bed_lines(I.sites(spark, d).withColumn("score", F.lit(None).cast("double"))))
 
+# files: each is written from the tables into a folder that driver and executors share, and read back
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """A folder of text files with these lines (column value)."""
+    at = f"{shared_folder(spark, 'files')}/{name}"
+    lines.write.text(at)
+    return at
+
+
+def _lines(df: DataFrame, *cols) -> DataFrame:
+    return df.select(F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]).alias("value"))
+
+
+_AS_READ = "select contig, st as start, en as \"end\", name, score, strand from s"
+register("file_bed", f"with {I.SITES} {_AS_READ}")(lambda spark, d: files.read_bed(spark, _written(spark, files.bed_lines(I.sites(spark, d)).unionByName(spark.createDataFrame([("# a comment",), ("track name=x",), ("",)], "value string")), "bed")).drop("site_id"))
+register("file_footprints", f"with {I.SITES} select contig, st as start, en as \"end\", name, score, strand from s where site_id % 2 = 0")(lambda spark, d: _footprints(spark, d))
+
+
+def _footprints(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each label and strand, of which one strand is the condition that is read."""
+    at = shared_folder(spark, "footprints")
+    for r in S.names_of(I.sites(spark, d)).collect():
+        for strand, condition in (("+", "plus"), ("-", "minus")):
+            rows = I.sites(spark, d).where((F.col("name") == r.name) & (F.col("strand") == strand))
+            files.write_text_file(files.bed_lines(rows), f"{at}/{r.name}/beds/{r.name}_{condition}_bound.bed")
+    return files.read_footprints(spark, at, "plus").drop("site_id")
+
+
+_GTF = F.concat(F.lit('gene_id "'), F.col("gene_name"), F.lit('"; gene_version '), F.col("f_id").cast("string"), F.lit('; tag "basic"; tag "second"; gene_name "n '), F.col("gene_name"), F.lit('";'))
+register("file_gtf", f"with {I.SITES} select contig, 'gene' as feature, st as start, en + 600 as \"end\", strand, 'g' || (site_id % 50) as gene_id, 'n g' || (site_id % 50) as gene_name, cast(site_id as varchar) as gene_version, 'basic' as tag from s where name = 'purchase'")(
+    lambda spark, d: files.read_gtf(spark, _written(spark, _lines(I.features(spark, d), "contig", F.lit("pairloom"), "feature", (F.col("start") + 1).cast("string"), "end", F.lit("."), "strand", F.lit("."), _GTF), "gtf"), ("gene_id", "gene_name", "gene_version", "tag")).drop("f_id", "attributes")
+)
+register("file_fasta", f"with {I.SITES} select contig, string_agg(case name[1] when 'c' then 'A' when 'e' then 'C' when 'p' then 'G' when 's' then 'T' else 'A' end, '' order by st, site_id) as seq from s group by contig")(
+    lambda spark, d: files.read_fasta(spark, _written(spark, I.genome(spark, d).select(F.concat(F.lit(">"), "contig", F.lit(" a user\n"), F.regexp_replace("seq", "(.{7})", "$1\n")).alias("value")), "fasta"))
+)
+register("file_signal", "select cast(user_id as varchar) as contig, epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + 1 as \"end\", cast(value as double) as value from events")(
+    lambda spark, d: files.read_signal(spark, _written(spark, _lines(I.sites(spark, d), "contig", "start", (F.col("start") + 1).cast("string"), "score"), "bedgraph"))
+)
+register("file_table", "select n_name as name1, n_nationkey::int as k, length(n_name) / 2.0::double as half from nation")(
+    lambda spark, d: files.read_table(spark, _written(spark, spark.createDataFrame([("name1\tk\thalf",)], "value string").unionByName(_lines(I.table(spark, d, "nation"), "n_name", "n_nationkey", (F.length("n_name") / 2).cast("string"))).coalesce(1), "table"))
+)
+
+
+def _ontology(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The nations below the regions below the world as an OBO file, with stanzas that are no terms, and an obsolete term."""
+    parents = I.hierarchy(spark, d)
+    terms = parents.groupBy("term").agg(F.collect_list("parent").alias("up")).unionByName(spark.createDataFrame([("WORLD", [])], "term string, up array<string>"))
+    one = F.concat(F.lit("[Term]\nid: "), "term", F.lit("\nname: name of "), "term", F.lit("\nnamespace: places"), F.array_join(F.transform("up", lambda x: F.concat(F.lit("\nis_a: "), F.regexp_replace(x, " ", "_"), F.lit(" ! parent"))), ""), F.lit("\n"))
+    named = terms.withColumn("term", F.regexp_replace("term", " ", "_"))
+    text = named.select(one.alias("value")).unionByName(spark.createDataFrame([("[Term]\nid: GONE\nname: gone\nnamespace: places\nis_obsolete: true\n",), ("[Typedef]\nid: regulates\nname: regulates\nis_a: WORLD\nis_obsolete: true\n",)], "value string"))
+    return files.read_obo(spark, _written(spark, text, "obo"))
+
+
+_PLACES = "h as (select replace(n_name, ' ', '_') as term, replace(r_name, ' ', '_') as parent, 2 as depth from nation join region on n_regionkey = r_regionkey union select replace(r_name, ' ', '_'), 'WORLD', 1 from region union select 'WORLD', null, 0)"
+register("file_ontology", f"with {_PLACES} select distinct term, 'places' as aspect, depth, 'name of ' || replace(term, '_', ' ') as description from h")(lambda spark, d: _ontology(spark, d)[0].withColumn("description", F.regexp_replace("description", "_", " ")))
+register("file_ontology_parents", f"with {_PLACES} select distinct term, parent from h where parent is not null")(lambda spark, d: _ontology(spark, d)[1])
+
+
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_folder(spark, 'saved')}/s"
+    files.save(at, {"rules": _rules(spark, d)}, I.DAY)
+    tables, window = files.load(spark, at)
+    return tables["rules"].select("pair", "n12", F.lit(window.max_dist).alias("max_dist"), F.lit(window.anchor).alias("anchor"))
+
+
+register("file_saved", f"with {I.SITES}, {I.rules_sql(I.DAY)} select pair, n12, 86400 as max_dist, 'inner' as anchor from r")(_saved)
+
+
+def _peaks_file(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks as a delimited file with a header, read back."""
+    at = f"{shared_folder(spark, 'peaks')}/t"
+    files.write_table(doubles_rounded(_peaks(spark, d)).select("name1", "name2", "distance", "prominence", "window"), at)
+    return files.read_table(spark, at)
+
+
+register("file_peaks", f"{O.peaks_ctes(Window(max_dist=100), 1.5)} select name1, name2, distance, round(prominence, 6) as prominence, '[' || lo || ';' || hi || ']' as \"window\" from pk")(_peaks_file)
+
+
 # counts
 
 _COUNT = {
@@ -124,6 +211,7 @@ register("rule_keep_zero", f"with {I.SITES}, {I.counts_sql(_RARE)}, z as (select
     lambda spark, d: rounded(rules.rules_of(I.sites(spark, d), _RARE, keep_zero=True), "cosine")
 )
 register("rule_items", f"with {I.ITEMS}, {I.rules_sql(_WEEK)} select {_COLS}, round(cosine, 9) as cosine from r")(lambda spark, d: rounded(rules.rules_of(I.items(spark, d), _WEEK), "cosine"))
+register("rule_ranked", all_sql("select row_number() over (order by round(r.cosine, 9) desc, name1, name2)::int as rank, pair, round(cosine, 9) as cosine from r"))(lambda spark, d: rules.ranked(rounded(_rules(spark, d, measures=("cosine",)), "cosine")).select("rank", "pair", "cosine"))
 register("rule_label_table", all_sql("select a.name1 as name, a.n1, b.n2 from (select distinct name1, n1 from r) a join (select distinct name2, n2 from r) b on a.name1 = b.name2"))(lambda spark, d: rules.label_table(_rules(spark, d)))
 register("rule_simplify", all_sql(f"select {_COLS}, round(cosine, 9) as cosine from (select *, row_number() over (partition by least(name1, name2), greatest(name1, name2) order by cosine desc, name1, name2) as k from r) where k = 1"))(lambda spark, d: rounded(rules.simplify(_rules(spark, d, measures=("cosine",))), "cosine"))
 register("rule_top", all_sql(f"select {_COLS}, round(cosine, 9) as cosine from r order by r.cosine desc, name1, name2 limit 7"))(lambda spark, d: rounded(rules.top(_rules(spark, d, measures=("cosine",)), 7), "cosine"))
@@ -141,8 +229,8 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
 register("rule_integrate_label", all_sql("select pair, n12, round(m, 6) as x_mean_score, k as x_n1 from r left join (select name, avg(score) as m, count(*) as k from s group by name) t on t.name = r.name1"))(
     lambda spark, d: rounded(rules.integrate(_rules(spark, d), _numbers(spark, d), "name1", col1="name", prefix="x_").select("pair", "n12", "x_mean_score", "x_n1"), "x_mean_score", to=6)
 )
-register("rule_integrate_pair", all_sql("select r.pair, r.n12, h.n12 as n12_y from r left join (select name1, name2, n12 from r where n12 % 2 = 0) h on h.name1 = r.name1 and h.name2 = r.name2"))(
-    lambda spark, d: rules.integrate(_rules(spark, d), _rules(spark, d).where("n12 % 2 = 0").select("name1", "name2", "n12")).select("pair", "n12", "n12_y")
+register("rule_integrate_pair", f"with {I.SITES}, {I.rules_sql(I.DAY)}, {I.rules_sql(I.HOUR, out='q')} select r.pair, r.n12, h.n12 as n12_y from r left join q h on h.name1 = r.name1 and h.name2 = r.name2")(
+    lambda spark, d: rules.integrate(_rules(spark, d), _rules(spark, d, I.HOUR).select("name1", "name2", "n12")).select("pair", "n12", "n12_y")
 )
 register("rule_restrict_sites", all_sql("select site_id, name from s where name in (select name1 from t union select name2 from t)").replace(" select site_id, name from s where", ", t as (select * from r order by cosine desc, name1, name2 limit 2) select site_id, name from s where"))(
     lambda spark, d: rules.restrict_sites(I.sites(spark, d), rules.top(_rules(spark, d), 2)).select("site_id", "name")
@@ -185,6 +273,7 @@ register("pair_distances_by_orientation", f"with {I.SITES}, {I.pairs_sql(_OCC, c
 register("pair_bed_lines", f"with {I.SITES}, {I.pairs_sql(_OCC, clamp=False)} select contig || chr(9) || least(ast, bst) || chr(9) || greatest(aen, ben) || chr(9) || n1 || '-' || n2 || chr(9) || d || chr(9) || '.' as value from p")(
     lambda spark, d: files.pair_lines(pairs.occurrences(I.sites(spark, d), _OCC), merge=True)
 )
+register("pair_two_lines", f"with {I.SITES}, {I.pairs_sql(_OCC, clamp=False)} select unnest([concat_ws(chr(9), contig, ast, aen, n1, '.', astr), concat_ws(chr(9), contig, bst, ben, n2, '.', bstr)]) as value from p")(lambda spark, d: files.pair_lines(pairs.occurrences(I.sites(spark, d), _OCC)))
 register("pair_bedpe_lines", f"with {I.SITES}, {I.pairs_sql(_OCC, clamp=False)} select concat_ws(chr(9), contig, ast, aen, contig, bst, ben, n1 || '-' || n2, d, astr, bstr) as value from p")(lambda spark, d: files.pair_lines(pairs.occurrences(I.sites(spark, d), _OCC), "bedpe"))
 register("pair_lines", f"with {I.SITES}, {I.pairs_sql(_OCC, clamp=False)}, l as (select d as x, sa.score as y from p join s sa on sa.site_id = i union all select d, sb.score from p join s sb on sb.site_id = j) select x, round(avg(y), 6) as y, count(y) as n from l group by x")(
     lambda spark, d: rounded(signals.lines(pairs.occurrences(I.sites(spark, d), _OCC), "distance", "score"), "y", to=6)
@@ -199,8 +288,11 @@ def _signal(spark: SparkSession, d: str) -> DataFrame:
     return I.sites(spark, d).groupBy("contig", "start").agg(F.max("end").alias("end"), F.max("score").alias("value"))
 
 
-register("signal_windows")(lambda spark, d: _framed(spark, d).select("pair_id", "window_start", "window_end", "site1_rel_start", "site2_rel_start", "flip"))
-register("signal_track")(lambda spark, d: signals.track(signals.log_scores(signals.window_values(_framed(spark, d), _signal(spark, d))), _framed(spark, d)))
+_NEAR = Window(max_dist=900)
+register("signal_windows", f"{O.windows_ctes(_NEAR, 60)} select i as site1_site_id, j as site2_site_id, ws as window_start, we as window_end, r1 as site1_rel_start, r2 as site2_rel_start, flip from fr")(
+    lambda spark, d: _framed(spark, d).select("site1_site_id", "site2_site_id", "window_start", "window_end", "site1_rel_start", "site2_rel_start", "flip")
+)
+register("signal_track", O.track_sql(_NEAR, 60))(lambda spark, d: rounded(signals.track(signals.log_scores(signals.window_values(_framed(spark, d), _signal(spark, d))), _framed(spark, d)), "value", to=6))
 register("signal_animation")(lambda spark, d: signals.animation(signals.window_values(_framed(spark, d), _signal(spark, d)), _framed(spark, d), 50, 25))
 
 # orientation
@@ -229,60 +321,65 @@ register("orient_pvalues")(lambda spark, d: orientation.orientation(rules.rules_
 _DW = Window(max_dist=100)
 
 
-def _few(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = I.items(spark, d)
-    return s, s.select(F.col("name").alias("name1")).distinct().where("name1 <= 'Brand#13'").crossJoin(s.select(F.col("name").alias("name2")).distinct().where("name2 <= 'Brand#13'"))
-
-
 def _every(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All labels, crossed with themselves."""
     s = I.items(spark, d)
     return s, S.names_of(s).withColumnRenamed("name", "name1").crossJoin(S.names_of(s).withColumnRenamed("name", "name2"))
 
 
-def _hist(spark: SparkSession, d: str, w: Window = _DW, of=_few, **more) -> DataFrame:
+def _hist(spark: SparkSession, d: str, w: Window = _DW, of=_every, **more) -> DataFrame:
     return distances.count_distances(*of(spark, d), w, **more)
 
 
-def hist_sql(w: Window = _DW, tail: str = "select name1, name2, distance, value from h") -> str:
-    both = "select n1, n2, d from p" if w.directional else "select n1, n2, d from p union all select n2, n1, d from p"
-    return f"""with {I.ITEMS}, f as (select a.name as name1, b.name as name2 from (select distinct name from s where name <= 'Brand#13') a cross join (select distinct name from s where name <= 'Brand#13') b),
-t as (select * from s where name <= 'Brand#13'), {I.pairs_sql(w, clamp=False, src='t')}, k as (select n1, n2, d, count(*) as n from ({both}) group by 1, 2, 3),
-h as (select name1, name2, g.d::int as distance, coalesce(n, 0)::double as value from f cross join (select unnest(range({w.min_dist}, {w.max_dist} + 1)) as d) g left join k on k.n1 = name1 and k.n2 = name2 and k.d = g.d) {tail}"""
-
-
-register("dist_histogram", hist_sql())(lambda spark, d: _hist(spark, d))
+register("dist_histogram", hist_sql(_DW))(lambda spark, d: _hist(spark, d))
 register("dist_histogram_directional", hist_sql(_DW.but(directional=True)))(lambda spark, d: _hist(spark, d, _DW.but(directional=True)))
 _NEG = Window(min_dist=-20, max_dist=20, max_overlap=1)
 register("dist_histogram_negative", hist_sql(_NEG))(lambda spark, d: _hist(spark, d, _NEG))
-register("dist_percentage")(lambda spark, d: distances.count_distances(I.sites(spark, d), _rules(spark, d), Window(max_dist=600, max_overlap=1, min_dist=-60), percentage=True, percentage_bins=20))
+_SHARES = Window(max_dist=600, max_overlap=1, min_dist=-60)
+register("dist_percentage", O.percentage_sql(_SHARES, I.DAY, 20))(lambda spark, d: distances.count_distances(I.sites(spark, d), _rules(spark, d), _SHARES, percentage=True, percentage_bins=20))
 _V = "over (partition by name1, name2)"
-register("dist_scale_minmax", hist_sql(tail=f"select name1, name2, distance, round(coalesce((value - min(value) {_V}) / nullif(max(value) {_V} - min(value) {_V}, 0), 0), 9) as value from h"))(lambda spark, d: rounded(distances.scale(_hist(spark, d)), "value"))
-register("dist_scale_fraction", hist_sql(tail=f"select name1, name2, distance, round(coalesce(value / nullif(sum(value) {_V}, 0), 0), 9) as value from h"))(lambda spark, d: rounded(distances.scale(_hist(spark, d), "fraction"), "value"))
-register("dist_smooth", hist_sql(tail="select name1, name2, distance, round(value, 9) as value from (select name1, name2, distance, avg(value) over (partition by name1, name2 order by distance rows between 2 preceding and 2 following) as value from h) where distance between 2 and 98"))(lambda spark, d: rounded(distances.smooth(_hist(spark, d), 5), "value"))
-register("dist_smooth_full", hist_sql(tail="select name1, name2, distance, round(avg(value) over (partition by name1, name2 order by distance rows between 1 preceding and 2 following), 9) as value from h"))(lambda spark, d: rounded(distances.smooth(_hist(spark, d), 4, reduce=False), "value"))
-register("dist_zscore", hist_sql(tail=f"select name1, name2, distance, round(coalesce((value - avg(value) {_V}) / nullif(stddev_pop(value) {_V}, 0), 0), 6) as value from h"))(lambda spark, d: rounded(distances.zscores(_hist(spark, d)), "value", to=6))
-register("dist_mean", hist_sql(tail="select name1, name2, round(sum(value * distance) / nullif(sum(value), 0), 9) as mean_distance from h group by 1, 2"))(lambda spark, d: rounded(distances.mean_distance(_hist(spark, d)), "mean_distance"))
-register("dist_max", hist_sql(tail="select name1, name2, distance as max_distance from (select *, row_number() over (partition by name1, name2 order by value desc, distance) as k from h) where k = 1"))(lambda spark, d: distances.max_distance(_hist(spark, d)))
+register("dist_scale_minmax", hist_sql(_DW, tail=f"select name1, name2, distance, round(coalesce((value - min(value) {_V}) / nullif(max(value) {_V} - min(value) {_V}, 0), 0), 9) as value from h"))(lambda spark, d: rounded(distances.scale(_hist(spark, d)), "value"))
+register("dist_scale_fraction", hist_sql(_DW, tail=f"select name1, name2, distance, round(coalesce(value / nullif(sum(value) {_V}, 0), 0), 9) as value from h"))(lambda spark, d: rounded(distances.scale(_hist(spark, d), "fraction"), "value"))
+register("dist_smooth", hist_sql(_DW, tail="select name1, name2, distance, round(value, 9) as value from (select name1, name2, distance, avg(value) over (partition by name1, name2 order by distance rows between 2 preceding and 2 following) as value from h) where distance between 2 and 98"))(lambda spark, d: rounded(distances.smooth(_hist(spark, d), 5), "value"))
+register("dist_smooth_full", hist_sql(_DW, tail="select name1, name2, distance, round(avg(value) over (partition by name1, name2 order by distance rows between 1 preceding and 2 following), 9) as value from h"))(lambda spark, d: rounded(distances.smooth(_hist(spark, d), 4, reduce=False), "value"))
+register("dist_zscore", hist_sql(_DW, tail=f"select name1, name2, distance, round(coalesce((value - avg(value) {_V}) / nullif(stddev_pop(value) {_V}, 0), 0), 6) as value from h"))(lambda spark, d: rounded(distances.zscores(_hist(spark, d)), "value", to=6))
+register("dist_mean", hist_sql(_DW, tail="select name1, name2, round(sum(value * distance) / nullif(sum(value), 0), 9) as mean_distance from h group by 1, 2"))(lambda spark, d: rounded(distances.mean_distance(_hist(spark, d)), "mean_distance"))
+register("dist_max", hist_sql(_DW, tail="select name1, name2, distance as max_distance from (select *, row_number() over (partition by name1, name2 order by value desc, distance) as k from h) where k = 1"))(lambda spark, d: distances.max_distance(_hist(spark, d)))
 register("dist_collapse_negative", hist_sql(_NEG, "select name1, name2, case when distance < 0 then -1 else distance end as distance, max(value) as value from h group by 1, 2, 3"))(lambda spark, d: distances.collapse_negative(_hist(spark, d, _NEG)))
 
 
-def _peaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = _hist(spark, d, of=_every)
+_PEAK = 1.5
+
+
+def _signal_and_peaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The smoothed signal and its peaks; the counts, of a row per pair and distance, are checkpointed since both are used again."""
+    c = checkpointed(_hist(spark, d))
     signal = distances.smooth(distances.scale(c), 3)
-    return c, signal, distances.analyze(c, signal, "zscore", 1.5, smooth_window=3)
+    return signal, checkpointed(distances.analyze(c, signal, "zscore", _PEAK, smooth_window=3))
+
+
+def _peaks(spark: SparkSession, d: str) -> DataFrame:
+    return _signal_and_peaks(spark, d)[1]
 
 
-register("dist_background")(lambda spark, d: distances.correct_background(distances.scale(_hist(spark, d, of=_every)), keep=True))
-register("dist_peaks")(lambda spark, d: _peaks(spark, d)[2])
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    signal, peaks = _signal_and_peaks(spark, d)
+    return distances.rank(peaks.join(distances.noise(signal, peaks), ["name1", "name2"]))
+
+
+register("dist_background")(lambda spark, d: distances.correct_background(distances.scale(_hist(spark, d)), keep=True))
+register("dist_peaks", O.peaks_sql(_DW, _PEAK))(lambda spark, d: rounded(_peaks(spark, d), "height", "prominence", "percent", to=6))
 register("dist_preferred")(lambda spark, d: distances.preferred(*_every(spark, d), _DW, 2.0))
-register("dist_noise")(lambda spark, d: distances.noise(_peaks(spark, d)[1], _peaks(spark, d)[2]))
-register("dist_rank")(lambda spark, d: distances.rank(_peaks(spark, d)[2].join(distances.noise(*_peaks(spark, d)[1:]), ["name1", "name2"])))
-register("dist_hubs")(lambda spark, d: distances.hubs(_peaks(spark, d)[2]))
-register("dist_count_peaks")(lambda spark, d: distances.count_peaks(_every(spark, d)[1], _peaks(spark, d)[2]))
-register("dist_classify")(lambda spark, d: distances.classify(_every(spark, d)[1], _peaks(spark, d)[2]))
-register("dist_periodicity")(lambda spark, d: distances.periodicity(_hist(spark, d, of=_every)))
-register("dist_autocorrelation")(lambda spark, d: distances.autocorrelation(_hist(spark, d, of=_every)))
+register("dist_noise", O.noise_sql(_DW, _PEAK))(lambda spark, d: rounded(distances.noise(*_signal_and_peaks(spark, d)), "noisiness", to=6))
+register("dist_rank")(_ranked)
+register("dist_hubs", f"{O.peaks_ctes(_DW, _PEAK)} select name1, count(distinct name2) as partners from pk group by 1")(lambda spark, d: distances.hubs(_peaks(spark, d)))
+register("dist_count_peaks", f"{O.peaks_ctes(_DW, _PEAK)} select name1, name2, count(pk.distance) as n_peaks from f left join pk using (name1, name2) group by 1, 2")(lambda spark, d: distances.count_peaks(_every(spark, d)[1], _peaks(spark, d)))
+register("dist_classify", f"{O.peaks_ctes(_DW, _PEAK)} select name1, name2, count(pk.distance) > 0 as is_peaking from f left join pk using (name1, name2) group by 1, 2")(lambda spark, d: distances.classify(_every(spark, d)[1], _peaks(spark, d)))
+register("dist_periodicity", O.periodicity_sql(_DW))(lambda spark, d: distances.periodicity(_hist(spark, d)))
+register("dist_autocorrelation", O.autocorrelation_sql(_DW))(lambda spark, d: rounded(distances.autocorrelation(_hist(spark, d)), "value", to=6).withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value"))))
+register("network_of_peaks", f"{O.peaks_ctes(_DW, _PEAK)}, e as (select *, row_number() over (partition by least(name1, name2), greatest(name1, name2) order by round(prominence, 6) desc, name1, name2, distance) as k from pk) select name1 as node1, name2 as node2, distance, round(prominence, 6) as prominence from e where k = 1")(
+    lambda spark, d: network.build(rounded(_peaks(spark, d), "prominence", to=6), order=[F.col("prominence").desc(), "node1", "node2", "distance"])[1].select(F.col("node1"), F.col("node2"), "distance", "prominence")
+)
 _WIDE = ", ".join(f'max(case when distance = {k} then value end) as "{k}"' for k in range(11))
 register("dist_wide", hist_sql(Window(max_dist=10), f"select name1, name2, {_WIDE} from h group by 1, 2"))(lambda spark, d: distances.wide(_hist(spark, d, Window(max_dist=10)), 0, 10))
 
@@ -307,8 +404,14 @@ register("diff_normalize", _NORM)(lambda spark, d: rounded(differential.normaliz
 register("diff_log2fc", f'with {_TWO}, {_J} select name1, name2, round(log2((a + 0.01) / (b + 0.01)), 6) as "a/b_cosine_log2fc" from j')(lambda spark, d: rounded(differential.fold_changes(_samples(spark, d)).select("name1", "name2", "`a/b_cosine_log2fc`"), "a/b_cosine_log2fc", to=6))
 register("diff_select", f"with {_TWO}, {_J} select name1, name2 from j where (log2((a + 0.01) / (b + 0.01)) <= -0.05 or log2((a + 0.01) / (b + 0.01)) >= 0.05) and (a + b) / 2 >= 0.1")(lambda spark, d: differential.select(differential.fold_changes(_samples(spark, d)), bounds=(-0.05, 0.05), least_mean=0.1).select("name1", "name2"))
 register("diff_correlation", f"with {_TWO}, {_J}, x as (select round(corr(a, b), 6) as r from j) select 'a' as sample1, 'a' as sample2, 1.0::double as r union all select 'b', 'b', 1.0 union all select 'a', 'b', r from x union all select 'b', 'a', r from x")(lambda spark, d: rounded(differential.correlation(_samples(spark, d)), "r", to=6))
-register("diff_spearman")(lambda spark, d: rounded(differential.correlation(_samples(spark, d), method="spearman"), "r", to=6))
-register("diff_extremes")(lambda spark, d: plotdata.extremes(differential.fold_changes(_samples(spark, d)), "a/b_cosine_log2fc", 5))
+_RANKS = f"with {_TWO}, {_J}, k as (select *, row_number() over (order by a) as ka, row_number() over (order by b) as kb from j), x as (select round(corr(ra, rb), 6) as r from (select avg(ka) over (partition by a) as ra, avg(kb) over (partition by b) as rb from k))"
+register("diff_spearman", f"{_RANKS} select 'a' as sample1, 'a' as sample2, 1.0::double as r union all select 'b', 'b', 1.0 union all select 'a', 'b', r from x union all select 'b', 'a', r from x")(lambda spark, d: rounded(differential.correlation(_samples(spark, d), method="spearman"), "r", to=6))
+_FOLD = 'round(log2((a + 0.01) / (b + 0.01)), 6)'
+register("diff_extremes", f"""with {_TWO}, {_J}, v as (select name1, name2, {_FOLD} as v from j),
+k as (select *, row_number() over (order by v, name1, name2) as lo, row_number() over (order by v desc, name1, name2) as hi from v)
+select name1, name2, v as "a/b_cosine_log2fc", 'low' as "end" from k where lo <= 5 union all select name1, name2, v, 'high' from k where hi <= 5""")(
+    lambda spark, d: plotdata.extremes(rounded(differential.fold_changes(_samples(spark, d)), "a/b_cosine_log2fc", to=6).select("name1", "name2", "`a/b_cosine_log2fc`"), "a/b_cosine_log2fc", 5)
+)
 
 # network
 
@@ -324,12 +427,13 @@ register("net_nodes", f"{_EDGES} select node1 as node from e union select node2
 register("net_degree", f"{_EDGES} select node, count(*)::double as degree from (select node1 as node from e union all select node2 from e) group by node")(lambda spark, d: network.degree(_edges(spark, d)))
 register("net_degree_weighted", f"{_EDGES} select node, round(sum(w), 6) as degree from (select node1 as node, cosine as w from e union all select node2, cosine from e) group by node")(lambda spark, d: rounded(network.degree(_edges(spark, d), "cosine"), "degree", to=6))
 register("net_degree_out", f"{_EDGES} select node, sum(w)::double as degree from (select node1 as node, 1 as w from e union all select node2, 0 from e) group by node")(lambda spark, d: network.degree(_edges(spark, d), direction="out"))
-register("net_node_attributes")(lambda spark, d: spark.createDataFrame([(c,) for c in network.node_attributes(rules.rules_of(I.items(spark, d), _WEEK), "name1")], "attribute string"))
+_ATTRIBUTES = " union all ".join(f"select '{c}' as attribute from r having count(distinct name1) = count(distinct {c}) and count(distinct name1) = count(distinct (name1, {c}))" for c in ("name2", "pair", "n12", "n1", "n2", "cosine"))
+register("net_node_attributes", f"with {I.ITEMS}, {I.rules_sql(_WEEK)} {_ATTRIBUTES}")(lambda spark, d: spark.createDataFrame([(c,) for c in network.node_attributes(rules.rules_of(I.items(spark, d), _WEEK), "name1")], "attribute string"))
 register("net_louvain")(lambda spark, d: network.cluster(_edges(spark, d), weight="cosine"))
 register("net_blockmodel")(lambda spark, d: network.cluster(_edges(spark, d), "blockmodel"))
 register("net_betweenness")(lambda spark, d: network.betweenness(_edges(spark, d)))
-register("net_neighbourhood", f"{_EDGES}, k as (select * from e where n12 % 3 = 0), b as (select 'Brand#11' as n union select node2 from k where node1 = 'Brand#11' union select node1 from k where node2 = 'Brand#11') select node1, node2 from k where node1 in (select n from b) and node2 in (select n from b)")(
-    lambda spark, d: network.neighbourhood(_edges(spark, d).where("n12 % 3 = 0"), "Brand#11").select("node1", "node2")
+register("net_neighbourhood", f"{_EDGES}, b as (select 'Brand#11' as n union select node2 from e where node1 = 'Brand#11' union select node1 from e where node2 = 'Brand#11') select node1, node2 from e where node1 in (select n from b) and node2 in (select n from b)")(
+    lambda spark, d: network.neighbourhood(_edges(spark, d), "Brand#11").select("node1", "node2")
 )
 register("net_random")(lambda spark, d: network.random_network(network.build(rules.rules_of(I.items(spark, d), _WEEK))[0], 50))
 register("net_powerlaw")(lambda spark, d: network.powerlaw(network.degree(_edges(spark, d))))
@@ -353,7 +457,7 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
     return annotation.enrichment(owned.where("cast(gene as long) % 3 = 0").select("gene"), owned, terms)
 
 
-register("enrichment")(_enriched)
+register("enrichment", O.enrichment_sql())(lambda spark, d: doubles_rounded(_enriched(spark, d).drop("depth", "description")))
 _HIERARCHY = "h as (select n_name as term, r_name as parent from nation join region on n_regionkey = r_regionkey union select r_name, 'WORLD' from region)"
 register("term_closure", f"with {_HIERARCHY}, t as (select term from h union select parent from h) select term, term as ancestor from t union select term, parent from h union select a.term, b.parent from h a join h b on b.term = a.parent")(lambda spark, d: annotation.closure(I.hierarchy(spark, d)))
 register("term_depths", f"with {_HIERARCHY} select term, case when parent = 'WORLD' then 1 else 2 end as depth from h union select 'WORLD', 0")(
@@ -386,6 +490,19 @@ register("plot_heatmap", all_sql("select a.name1, b.name2, round(coalesce(r.cosi
 register("plot_scatter", all_sql("select pair, round(cosine, 9) as x, round(confidence, 9) as y, cosine >= 0.2 and confidence >= 0.1 as selected from r"))(lambda spark, d: rounded(plotdata.scatter(_rules(spark, d), "cosine", "confidence", 0.2, 0.1), "x", "y"))
 register("plot_network_sizes", f"{_EDGES} select node1, node2, round(1 + coalesce((cosine - min(cosine) over ()) / nullif(max(cosine) over () - min(cosine) over (), 0), 0) * 9, 6) as size from e")(lambda spark, d: rounded(plotdata.scaled(_edges(spark, d), "cosine").select("node1", "node2", "size"), "size", to=6))
 register("plot_genome_view", f"with {I.SITES} select site_id, contig, st as start, en as \"end\", name from s where contig = (select min(contig) from s) order by st, en, site_id limit 100")(lambda spark, d: plotdata.genome_view(I.sites(spark, d)).select("site_id", "contig", "start", "end", "name"))
-register("plot_signal", hist_sql(tail="select distance, value from h where name1 = 'Brand#11' and name2 = 'Brand#12'"))(lambda spark, d: plotdata.one_signal(_hist(spark, d), "Brand#11", "Brand#12"))
-register("plot_orientation")(lambda spark, d: plotdata.shares(orientation.orientation(rules.rules_of(I.sites(spark, d), _OW), p_values=False)))
-register("plot_terms")(lambda spark, d: plotdata.term_bubble(_enriched(spark, d), "brand"))
+register("plot_signal", hist_sql(_DW, tail="select distance, value from h where name1 = 'Brand#11' and name2 = 'Brand#12'"))(lambda spark, d: plotdata.one_signal(_hist(spark, d), "Brand#11", "Brand#12"))
+register("plot_orientation", f"with u as ({_UNDIRECTED}) select name1 || '-' || name2 as pair, 'same' as scenario, same_share as share from u union all select name1 || '-' || name2, 'opposite', opposite_share from u")(
+    lambda spark, d: rounded(plotdata.shares(orientation.orientation(rules.rules_of(I.sites(spark, d), _OW), p_values=False)), "share")
+)
+register("gene_column", "select 'entrez' as matched")(lambda spark, d: spark.createDataFrame([(annotation.match_column(*_gene_tables(spark, d)),)], "matched string"))
+register("enrichment_matched", O.matched_sql())(lambda spark, d: annotation.matched(*_gene_tables(spark, d), "entrez").select("gene"))
+
+
+def _gene_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Genes named by a number, and a table of their ids under several names, in which that number is the column entrez."""
+    s = I.table(spark, d, "supplier")
+    genes = s.where("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 7000).cast("string").alias("gene"))
+    return genes, s.select("s_name", F.col("s_suppkey").alias("ensembl"), (F.col("s_suppkey") + 7000).alias("entrez"))
+
+
+register("plot_terms", O.term_bubble_sql())(lambda spark, d: rounded(plotdata.term_bubble(rounded(_enriched(spark, d), "fdr"), "brand").select("term", "count", "minus_log_fdr"), "minus_log_fdr", to=5))

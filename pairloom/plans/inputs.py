@@ -39,8 +39,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-hour spans from every seventh event on."""
-    return sites(spark, sf_dir).where("site_id % 7 = 0").select("site_id", "contig", "start", (F.col("start") + 1800).alias("end"), "name")
+    """Half-hour spans that begin a quarter of an hour after each event."""
+    return sites(spark, sf_dir).select("site_id", "contig", (F.col("start") + 900).alias("start"), (F.col("start") + 2700).alias("end"), "name")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ SITES = """s as (select event_id as site_id, cast(user_id as varchar) as contig,
 STRANDED = SITES.replace("event_type as name", "event_type || case when event_id % 2 = 0 then '(+)' else '(-)' end as name")
 ITEMS = """s as (select l_orderkey * 16 + l_linenumber as site_id, cast(l_suppkey as varchar) as contig, epoch_us(l_shipdate) // 86400000000 as st, epoch_us(l_shipdate) // 86400000000 + 1 as en,
   p_brand as name, cast(l_quantity as double) as score, '+' as strand from lineitem join part on l_partkey = p_partkey)"""
-REGIONS = "r as (select site_id, contig, st, st + 1800 as en, name from s where site_id % 7 = 0)"
+REGIONS = "r as (select site_id, contig, st + 900 as st, st + 2700 as en, name from s)"
 
 
 def pairs_sql(w: Window, clamp: bool = True, src: str = "s", out: str = "p", where: str = "") -> str:

@@ -9,6 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.storage import checkpointed
 from pairloom.schema import SITE, Window
 
 _BED = "contig string, start bigint, end bigint, name string, score string, strand string"
@@ -31,7 +32,7 @@ def read_bed(spark: SparkSession, path) -> DataFrame:
 
 def read_footprints(spark: SparkSession, folder: str, condition: str) -> DataFrame:
     """Sites of <name>/beds/*_<condition>_bound.bed below a folder; an unknown condition is an error that names the known ones."""
-    raw = spark.read.option("pathGlobFilter", "*_bound.bed").option("recursiveFileLookup", "true").text(folder).withColumn("_path", F.col("_metadata.file_path"))
+    raw = spark.read.option("pathGlobFilter", "*_bound.bed").option("recursiveFileLookup", "true").text(folder).where("length(trim(value)) > 0 and not value rlike '^(#|track|browser)'").withColumn("_path", F.col("_metadata.file_path"))
     raw = raw.withColumn("_condition", F.regexp_extract("_path", r"/beds/[^/]*?([^_/]+)_bound\.bed$", 1))
     if not raw.where(F.col("_condition") == condition).limit(1).count():
         known = sorted(r[0] for r in raw.select("_condition").distinct().collect())
@@ -42,11 +43,17 @@ def read_footprints(spark: SparkSession, folder: str, condition: str) -> DataFra
 
 
 def read_gtf(spark: SparkSession, path, keys: tuple[str, ...] = ("gene_id", "gene_name")) -> DataFrame:
-    """Features from GTF, half-open from 0, with the chosen attributes as columns and all of them as a map."""
+    """Features from GTF, half-open from 0, with the chosen attributes as columns and all of them as a map.
+
+    Values may be quoted or not. Of an attribute that is given more than once, as tags often are, the first value counts.
+    """
     raw = spark.read.text(path).where("length(trim(value)) > 0 and not value like '#%'")
     cell = F.split("value", "\t")
-    pairs = F.regexp_extract_all(F.get(cell, F.lit(8)), F.lit(r'(\S+) "([^"]*)"'), F.lit(0))
-    attributes = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r'^(\S+) "', 1).alias("k"), F.regexp_extract(x, r'"([^"]*)"', 1).alias("v")))))
+    one = r'([^\s;"]+)\s+(?:"([^"]*)"|([^\s;"]+))'
+    found = F.regexp_extract_all(F.get(cell, F.lit(8)), F.lit(one), F.lit(0))
+    pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, one, 1).alias("k"), F.concat(F.regexp_extract(x, one, 2), F.regexp_extract(x, one, 3)).alias("v")))
+    names = F.transform(pairs, lambda x: x["k"])
+    attributes = F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(names, x["k"]) == i + 1))
     rows = raw.select(F.monotonically_increasing_id().alias("f_id"), F.get(cell, F.lit(0)).alias("contig"), F.get(cell, F.lit(2)).alias("feature"), (F.get(cell, F.lit(3)).cast("long") - 1).alias("start"), F.get(cell, F.lit(4)).cast("long").alias("end"), F.get(cell, F.lit(6)).alias("strand"), attributes.alias("attributes"))
     return rows.select("f_id", "contig", "feature", "start", "end", "strand", *[F.col("attributes")[k].alias(k) for k in keys], "attributes")
 
@@ -69,28 +76,30 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """(terms, parents): term, aspect, depth, description; and term, parent. Obsolete terms are left out."""
+    """(terms, parents): term, aspect, depth, description; and term, parent. Obsolete terms, and stanzas of other kinds, are left out."""
     raw = spark.read.option("lineSep", "[Term]").text(path)
-    line = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)
+    # a stanza ends where the next one, of whatever kind, begins
+    stanza = F.regexp_replace("value", r"(?s)\n\[[A-Z][A-Za-z]*\].*", "\n")
+    raw = raw.select(stanza.alias("value"))
+    line = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*?)\s*$", 1)
     t = raw.where(F.col("value").rlike(r"(?m)^id: ") & ~F.col("value").rlike(r"(?m)^is_obsolete: true")).select(line("id").alias("term"), line("namespace").alias("aspect"), line("name").alias("description"), F.regexp_extract_all("value", F.lit(r"(?m)^is_a: (\S+)"), F.lit(1)).alias("up"))
     t = t.where("term <> ''")
     parents = t.select("term", F.explode("up").alias("parent"))
-    return t.select("term", "aspect", "description"), parents
+    return t.join(depths(t.select("term"), parents), "term", "left").select("term", "aspect", "depth", "description"), parents
 
 
-def depths(terms: DataFrame, parents: DataFrame, most: int = 64) -> DataFrame:
-    """(term, depth): the longest way up to a root."""
-    now = terms.select("term", F.lit(0).alias("depth"))
-    level = now.join(parents, "term", "left_anti")
+def depths(terms: DataFrame, parents: DataFrame) -> DataFrame:
+    """(term, depth): the longest way up to a root. A cycle, which has no longest way, raises."""
+    level = terms.select("term").distinct().join(parents, "term", "left_anti").withColumn("depth", F.lit(0))
+    total = terms.select("term").distinct().count()
     out, depth = level, 0
-    while depth < most:
+    while True:
         depth += 1
-        level = parents.join(level.select(F.col("term").alias("parent")), "parent", "left_semi").select("term").distinct().withColumn("depth", F.lit(depth))
-        from pairloom.functions.storage import checkpointed
-
-        level = checkpointed(level)
+        level = checkpointed(parents.join(level.select(F.col("term").alias("parent")), "parent", "left_semi").select("term").distinct().withColumn("depth", F.lit(depth)))
         if not level.limit(1).count():
             break
+        if depth > total:
+            raise ValueError("the terms' parents form a cycle")
         out = out.unionByName(level)
     return out.groupBy("term").agg(F.max("depth").alias("depth"))
 
@@ -126,6 +135,26 @@ def pair_lines(pairs: DataFrame, fmt: str = "bed", merge: bool = False) -> DataF
     return pairs.select(F.explode(F.array(one(1), one(2))).alias("value"))
 
 
+def write_table(table: DataFrame, path: str, sep: str = "\t") -> None:
+    """Delimited files with a header."""
+    table.write.csv(path, sep=sep, header=True)
+
+
+def write_text_file(lines: DataFrame, path: str) -> None:
+    """Lines as the one file `path`: for files whose name tells something. They pass through one task."""
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lines.coalesce(1).write.text(f"{path}.parts")
+    parts = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}.parts")) if f.getPath().getName().startswith("part-")]
+    if parts:
+        fs.rename(parts[0], to)
+    else:
+        fs.create(to).close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}.parts"), True)
+
+
 def save(path: str, tables: dict[str, DataFrame], window: Window | None = None) -> None:
     """Tables as Parquet below a folder, with the settings they were counted with."""
     for name, t in tables.items():
