@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from pairloom.functions.storage import checkpointed
 from pairloom.schema import need, one_of
 
 PAIR = ["name1", "name2"]
@@ -24,7 +25,8 @@ def combine(samples: dict[str, DataFrame], measure: str = "cosine", join: str =
     parts = []
     for name, rules in samples.items():
         need(rules, *PAIR, measure)
-        parts.append(rules.select(*PAIR, F.col(measure).alias(f"{name}_{measure}")))
+        # a row for each pair of labels, used several times
+        parts.append(checkpointed(rules.select(*PAIR, F.col(measure).alias(f"{name}_{measure}"))))
     if join == "inner":
         labels = [p.select(F.col("name1").alias("l")).union(p.select("name2")).distinct() for p in parts]
         shared = reduce(lambda a, b: a.join(b, "l", "left_semi"), labels)

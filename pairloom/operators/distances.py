@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import numerics
+from pairloom.functions.storage import checkpointed
 from pairloom.operators.pairs import window_pairs
 from pairloom.schema import Window, one_of
 
 PAIR = ["name1", "name2"]
+#: Rules whose labels are sent to all executors, to leave out sites that have none of them.
+MOST_BROADCAST = 1_000_000
 
 
 def count_distances(sites: DataFrame, rules: DataFrame, window: Window, percentage: bool = False, percentage_bins: int = 100) -> DataFrame:
@@ -25,7 +28,11 @@ def count_distances(sites: DataFrame, rules: DataFrame, window: Window, percenta
     Unless directional a pair counts for both orders, so a label with itself counts twice. Distances aren't clamped.
     With `percentage` distances are shares of the longer site, in bins; those beyond the last bin don't count.
     """
-    p = window_pairs(sites, window)
+    rules = checkpointed(rules.select(*PAIR).distinct())
+    # sites of other labels never reach the result
+    labels = rules.select(F.col("name1").alias("_label")).union(rules.select("name2")).distinct()
+    name = F.format_string("%s(%s)", "name", "strand") if window.stranded else F.col("name")
+    p = window_pairs(sites.join(F.broadcast(labels), name == F.col("_label"), "left_semi") if rules.count() <= MOST_BROADCAST else sites, window, columns=("name", "strand") if window.stranded else ("name",))
     d = F.col("distance")
     last = window.max_dist
     if percentage:
@@ -42,7 +49,7 @@ def count_distances(sites: DataFrame, rules: DataFrame, window: Window, percenta
         both = counted.select(F.explode(F.array(there, back)).alias("x"), "distance", "n")
         counted = both.groupBy("x.name1", "x.name2", "distance").agg(F.sum("n").alias("n"))
     first = 0 if percentage else window.min_dist
-    grid = rules.select(*PAIR).distinct().select(*PAIR, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("distance"))
+    grid = rules.select(*PAIR, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("distance"))
     return grid.join(counted, [*PAIR, "distance"], "left").select(*PAIR, "distance", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
 
 

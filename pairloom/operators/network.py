@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pairloom.functions.storage import checkpointed
 from pairloom.schema import one_of
 
 
@@ -29,6 +30,8 @@ def build(edges: DataFrame, node1: str = "name1", node2: str = "name2", order: l
     if not multi:
         w = W.partitionBy(F.least("node1", "node2"), F.greatest("node1", "node2")).orderBy(*(order or []), "node1", "node2")
         e = e.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # a row for each pair of labels, used for the nodes and by what is done with the edges
+    e = checkpointed(e)
     v = e.select(F.col("node1").alias("node")).union(e.select("node2")).distinct()
     if nodes is not None:
         v = v.join(nodes, "node", "left")

@@ -15,6 +15,8 @@ from pairloom.schema import Window, need, stranded_names
 
 #: Share of sites whose length a bin allows for; longer sites are repeated in more bins, at no loss.
 LENGTH_QUANTILE = 0.95
+#: Rows whose lengths are looked at for that.
+LOOK_AT = 10_000
 
 
 def middle(start: str | Column = "start", end: str | Column = "end") -> Column:
@@ -50,28 +52,33 @@ def before(window: Window, a: str = "a", b: str = "b") -> Column:
 
 
 def bin_width(sites: DataFrame, window: Window) -> int:
-    """A width at which most sites reach into two bins. Any width gives the same pairs."""
+    """A width at which most sites reach into two bins. Any width gives the same pairs, so the lengths of the first rows at hand will do."""
+    if window.width is not None:
+        return window.width
     if window.anchor == "center":
         return max(1, window.max_dist + 1)
-    typical = sites.agg(F.percentile_approx(F.col("end") - F.col("start"), LENGTH_QUANTILE, 100)).first()[0] or 0
+    lengths = sorted(r[0] for r in sites.select(F.col("end") - F.col("start")).limit(LOOK_AT).collect() if r[0] is not None)
+    typical = lengths[int((len(lengths) - 1) * LENGTH_QUANTILE)] if lengths else 0
     return max(1, window.max_dist + 1 + max(0, typical))
 
 
-def window_pairs(sites: DataFrame, window: Window, clamp: bool = False, width: int | None = None, extra: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
+def window_pairs(sites: DataFrame, window: Window, clamp: bool = False, width: int | None = None, extra: tuple[str, ...] = (), also: Column | None = None, columns: tuple[str, ...] = ("contig", "name", "score", "strand")) -> DataFrame:
     """Pairs (a, b, distance), a before b, structs of their sites; with `clamp` distances below zero count as zero.
 
-    `extra` names further columns that must be equal in both. Rows with a null contig, start or end pair with nothing.
+    `extra` names further columns that must be equal in both, `columns` what the structs hold besides site_id, start
+    and end: only that is shuffled. Rows with a null contig, start or end pair with nothing.
     """
     need(sites, "site_id", "contig", "start", "end", "name")
     s = sites.where("contig is not null and start is not null and end is not null")
-    cols = [c for c in ("site_id", "contig", "start", "end", "name", "score", "strand") if c in sites.columns] + [c for c in extra if c not in ("contig",)]
-    s = s.select(*cols, middle().alias("mid"))
     if window.stranded:
         s = stranded_names(s)
+    center = window.anchor == "center"
+    keep = ["site_id", "start", "end", *[c for c in columns if c in sites.columns], *[c for c in extra if c not in (*columns, "contig")]]
+    s = s.select(*dict.fromkeys([*keep, "contig"]), *([middle().alias("mid")] if center else []))
+    keep += ["mid"] if center else []
     w = F.lit(width or bin_width(sites, window))
-    at = F.col("mid") if window.anchor == "center" else F.col("start")
-    reach = (F.col("mid") if window.anchor == "center" else F.greatest("start", "end")) + max(0, window.max_dist)
-    keep = [*cols, "mid"]
+    at = F.col("mid") if center else F.col("start")
+    reach = (F.col("mid") if center else F.greatest("start", "end")) + max(0, window.max_dist)
     left = s.select(F.struct(*keep).alias("a"), F.col("contig").alias("c"), *[F.col(x).alias(f"x_{x}") for x in extra], F.explode(F.sequence(F.floor(at / w), F.floor(reach / w))).alias("bin"))
     right = s.select(F.struct(*keep).alias("b"), F.col("contig").alias("c"), *[F.col(x).alias(f"x_{x}") for x in extra], F.floor(at / w).alias("bin"))
     d = distance(window.anchor)
@@ -94,7 +101,7 @@ def directed_counts(sites: DataFrame, window: Window, extra: tuple[str, ...] = (
     With `binarize` an earlier site counts at most once with each label, and only if the last site of that label in
     reach isn't beyond the first site of its own label.
     """
-    p = window_pairs(sites, window, clamp=True, extra=extra).select(F.col("a.name").alias("name1"), F.col("b.name").alias("name2"), F.col("a.site_id").alias("i"), F.struct(*(["b.mid"] if window.anchor == "center" else []), "b.start", "b.end", "b.site_id").alias("j"), *extra)
+    p = window_pairs(sites, window, clamp=True, extra=extra, columns=("name",)).select(F.col("a.name").alias("name1"), F.col("b.name").alias("name2"), F.col("a.site_id").alias("i"), F.struct(*(["b.mid"] if window.anchor == "center" else []), "b.start", "b.end", "b.site_id").alias("j"), *extra)
     if not window.binarize:
         return p.groupBy(*extra, "name1", "name2").agg(F.count(F.lit(1)).alias("n"))
     per = p.groupBy(*extra, "i", "name1", "name2").agg(F.max("j").alias("last"), F.min("j").alias("first"))
@@ -124,7 +131,8 @@ def occurrences(sites: DataFrame, window: Window, name1: str | None = None, name
 
     Distances aren't clamped, so overlapping sites need min_dist below zero.
     """
-    p = window_pairs(sites, window)
+    # only sites of these labels can be in a pair
+    p = window_pairs(sites if name1 is None or name2 is None else sites.where(F.col("name").isin(name1, name2)), window)
     if name1 is not None and name2 is not None:
         one = (F.col("a.name") == name1) & (F.col("b.name") == name2)
         two = (F.col("a.name") == name2) & (F.col("b.name") == name1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -109,19 +110,36 @@ def merge_overlaps(sites: DataFrame, per_name: bool = True, chunk: int = 1 << 20
 def keep_best(sites: DataFrame, per_name: bool = True, chunk: int = 1 << 20) -> DataFrame:
     """Walks along the sites and keeps of a site and the last kept one that it overlaps that with the higher score, the later one of equals.
 
-    Chains of overlaps don't touch each other, so each is walked on its own.
+    Chains of overlaps don't touch each other, so each is walked on its own, row by row in order: one site is held of
+    a chain, however long it is. A null score is never higher.
     """
-    rows = islands(sites, per_name, chunk).groupBy("contig", "island").agg(F.array_sort(F.collect_list(F.struct(*ORDER, *[c for c in sites.columns if c not in ORDER]))).alias("s"))
-    kind = rows.schema["s"].dataType.simpleString()
-    last = lambda a: F.element_at(a, -1)
-    walk = F.aggregate(
-        "s",
-        F.array().cast(kind),
-        lambda kept, x: F.when((F.size(kept) == 0) | (x["start"] >= F.try_element_at(kept, F.lit(-1))["end"]), F.concat(kept, F.array(x)))
-        .when(x["score"] >= last(kept)["score"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
-        .otherwise(kept),
-    )
-    return rows.select(F.explode(walk).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in sites.columns])
+    rows = islands(sites, per_name, chunk)
+    order = ["contig", "island", *ORDER]
+    laid = rows.repartition("contig", "island").sortWithinPartitions(*order).select(*sites.columns, "island")
+    at = {c: laid.columns.index(c) for c in ("contig", "island", "start", "end", "score")}
+
+    def walk(batches):
+        held = last = None  # the row that is kept so far, as a batch of one, and its (contig, island, end, score)
+        for b in batches:
+            cols = {c: b.column(i).to_pylist() for c, i in at.items()}
+            chosen, row = [], -1  # the row kept so far, if it is one of this batch
+            for i, (contig, island, start, end, score) in enumerate(zip(*cols.values(), strict=True)):
+                if last is not None and last[:2] == (contig, island) and start < last[2]:
+                    if score is None or last[3] is None or not score >= last[3]:
+                        continue
+                elif row >= 0:
+                    chosen.append(row)
+                elif held is not None:
+                    yield held
+                held, row, last = None, i, (contig, island, end, score)
+            if chosen:
+                yield b.take(pa.array(chosen))
+            if row >= 0:
+                held = b.slice(row, 1)
+        if held is not None:
+            yield held
+
+    return laid.mapInArrow(walk, laid.schema).drop("island")
 
 
 def resolve_overlaps(sites: DataFrame, how: str = "merge", per_name: bool = True) -> DataFrame:

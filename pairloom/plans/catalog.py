@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.storage import checkpointed, shared_folder
@@ -118,9 +118,11 @@ def _footprints(spark: SparkSession, d: str) -> DataFrame:
     return files.read_footprints(spark, at, "plus").drop("site_id")
 
 
-_GTF = F.concat(F.lit('gene_id "'), F.col("gene_name"), F.lit('"; gene_version '), F.col("f_id").cast("string"), F.lit('; tag "basic"; tag "second"; gene_name "n '), F.col("gene_name"), F.lit('";'))
+def _attributes() -> Column:
+    """GTF attributes: quoted, without quotes, and one name twice."""
+    return F.concat(F.lit('gene_id "'), F.col("gene_name"), F.lit('"; gene_version '), F.col("f_id").cast("string"), F.lit('; tag "basic"; tag "second"; gene_name "n '), F.col("gene_name"), F.lit('";'))
 register("file_gtf", f"with {I.SITES} select contig, 'gene' as feature, st as start, en + 600 as \"end\", strand, 'g' || (site_id % 50) as gene_id, 'n g' || (site_id % 50) as gene_name, cast(site_id as varchar) as gene_version, 'basic' as tag from s where name = 'purchase'")(
-    lambda spark, d: files.read_gtf(spark, _written(spark, _lines(I.features(spark, d), "contig", F.lit("pairloom"), "feature", (F.col("start") + 1).cast("string"), "end", F.lit("."), "strand", F.lit("."), _GTF), "gtf"), ("gene_id", "gene_name", "gene_version", "tag")).drop("f_id", "attributes")
+    lambda spark, d: files.read_gtf(spark, _written(spark, _lines(I.features(spark, d), "contig", F.lit("pairloom"), "feature", (F.col("start") + 1).cast("string"), "end", F.lit("."), "strand", F.lit("."), _attributes()), "gtf"), ("gene_id", "gene_name", "gene_version", "tag")).drop("f_id", "attributes")
 )
 register("file_fasta", f"with {I.SITES} select contig, string_agg(case name[1] when 'c' then 'A' when 'e' then 'C' when 'p' then 'G' when 's' then 'T' else 'A' end, '' order by st, site_id) as seq from s group by contig")(
     lambda spark, d: files.read_fasta(spark, _written(spark, I.genome(spark, d).select(F.concat(F.lit(">"), "contig", F.lit(" a user\n"), F.regexp_replace("seq", "(.{7})", "$1\n")).alias("value")), "fasta"))

@@ -35,6 +35,8 @@ class Window:
     directional: bool = False
     stranded: bool = False
     binarize: bool = False
+    #: Width of the bins of the join, if it is known; any width gives the same pairs.
+    width: int | None = None
 
     def __post_init__(self):
         if self.anchor not in ANCHORS:
