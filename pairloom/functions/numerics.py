@@ -118,7 +118,7 @@ def cut_noise(signal: np.ndarray, peaks: list[int], method: str = "median", heig
     """What is left of a signal without its peaks: the median, or the range.
 
     From each peak one walks down on both sides until the signal is at (left) or below (right) a share of the peak's
-    height; what lies between, without its right end, is cut out. Each cut sees the earlier ones.
+    height; what lies between, without its right end, is cut out. All walks are made on the whole signal, then all cuts.
     """
     x = np.asarray(signal, float).copy()
     cuts = []

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for a session, so that Python functions find it on other hosts too.
+
+    Without a cluster it is sent only if the workers could not import it from the driver's own path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pairloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if not alone or not any(p and Path(p).resolve() == root for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        # Spark copies the archive from the driver to every executor
+        to = Path(tempfile.mkdtemp()) / "pairloom.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted((root / "pairloom").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        sc.addPyFile(str(to))
+    sc._pairloom_shipped = True
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; without a cluster a temporary folder if that isn't set."""
     sc = spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import numerics
-from pairloom.functions.storage import checkpointed
+from pairloom.functions.storage import checkpointed, ship
 from pairloom.schema import need, one_of
 
 
@@ -99,6 +99,8 @@ def enrichment(genes: DataFrame, gene_terms: DataFrame, terms: DataFrame, backgr
     sizes = flagged.groupBy("aspect").agg(F.countDistinct("gene").alias("total"), F.countDistinct(F.when(F.col("_in") == 1, F.col("gene"))).alias("drawn"))
     per = flagged.groupBy("aspect", "term").agg(F.count(F.lit(1)).alias("good"), F.sum("_in").alias("count"))
 
+    ship(genes.sparkSession)
+
     @F.pandas_udf("double")
     def fisher(k: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series([numerics.hypergeometric_two_sided(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, drawn, good, total, strict=True)])

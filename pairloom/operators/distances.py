@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import numerics
-from pairloom.functions.storage import checkpointed
+from pairloom.functions.storage import checkpointed, ship
 from pairloom.operators.pairs import window_pairs
 from pairloom.schema import Window, one_of
 
@@ -93,6 +93,7 @@ def correct_background(signal: DataFrame, frac: float = 0.66, keep: bool = False
         p = p.sort_values("distance")
         return p.assign(background=numerics.lowess(p.value.to_numpy(), frac))
 
+    ship(signal.sparkSession)
     out = signal.groupBy(*PAIR).applyInPandas(work, "name1 string, name2 string, distance int, value double, background double")
     out = out.withColumn("value", F.col("value") - F.col("background"))
     return out if keep else out.drop("background")
@@ -114,6 +115,7 @@ def find_peaks(signal: DataFrame, threshold: float = 2.0) -> DataFrame:
         n1, n2 = p.name1.iloc[0], p.name2.iloc[0]
         return pd.DataFrame([(n1, n2, int(d[i]), h, pr, threshold) for i, h, pr in found], columns=["name1", "name2", "distance", "height", "prominence", "threshold"])
 
+    ship(signal.sparkSession)
     return signal.groupBy(*PAIR).applyInPandas(work, "name1 string, name2 string, distance int, height double, prominence double, threshold double")
 
 
@@ -151,6 +153,7 @@ def noise(signal: DataFrame, peaks: DataFrame, method: str = "median", height_mu
         order = p.sort_values(["prominence", "distance"], ascending=[False, True])
         return pd.DataFrame([(s.name1.iloc[0], s.name2.iloc[0], numerics.cut_noise(s.value.to_numpy(), [int(d) - first for d in order.distance], method, height_multiplier))], columns=["name1", "name2", "noisiness"])
 
+    ship(signal.sparkSession)
     return signal.groupBy(*PAIR).cogroup(peaks.groupBy(*PAIR)).applyInPandas(work, "name1 string, name2 string, noisiness double")
 
 
@@ -207,6 +210,7 @@ def periodicity(signal: DataFrame, by_amplitude: bool = False) -> DataFrame:
         a, b = numerics.periodicity(p.sort_values("distance").value.to_numpy(), by_amplitude)
         return pd.DataFrame([(p.name1.iloc[0], p.name2.iloc[0], a, b)], columns=["name1", "name2", "period", "amplitude"])
 
+    ship(signal.sparkSession)
     return signal.groupBy(*PAIR).applyInPandas(work, "name1 string, name2 string, period double, amplitude double")
 
 
@@ -217,6 +221,7 @@ def autocorrelation(signal: DataFrame) -> DataFrame:
         a = numerics.autocorrelation(p.sort_values("distance").value.to_numpy())
         return pd.DataFrame({"name1": p.name1.iloc[0], "name2": p.name2.iloc[0], "lag": np.arange(1, len(a) + 1, dtype=np.int32), "value": a})
 
+    ship(signal.sparkSession)
     return signal.groupBy(*PAIR).applyInPandas(work, "name1 string, name2 string, lag int, value double")
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.storage import ship
 from pairloom.operators.sites import resolve_overlaps, widen
 from pairloom.sources.files import check_bounds, score_matrix, score_threshold, with_ids
 
@@ -61,6 +62,7 @@ def scan(regions: DataFrame, genome: DataFrame, motifs: dict[str, list[list[floa
                         out += [(contig, at + i, at + i + k, name, float(s[i]), strand) for i in np.flatnonzero(s >= least).tolist() if at + i < until]
             yield pd.DataFrame(out, columns=["contig", "start", "end", "name", "score", "strand"])
 
+    ship(regions.sparkSession)
     found = parts.mapInPandas(work, "contig string, start bigint, end bigint, name string, score double, strand string").distinct()
     key = F.xxhash64("contig", "start", "end", "name", "strand")
     sites = with_ids(found.withColumn("site_id", key))

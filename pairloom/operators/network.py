@@ -47,6 +47,18 @@ def degree(edges: DataFrame, weight: str | None = None, direction: str = "both")
     return ends.groupBy("node").agg(F.sum("w").alias("degree"))
 
 
+#: Edges that a search on the driver takes; of a larger network rules have to be selected first.
+MOST_EDGES = 5_000_000
+
+
+def gathered(edges: DataFrame, *cols) -> list:
+    """The edges on the driver, if there are not too many; a network of labels has at most a row for every two of them."""
+    rows = edges.select(*cols).limit(MOST_EDGES + 1).collect()
+    if len(rows) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges; select rules first")
+    return rows
+
+
 def louvain(edges: list[tuple[str, str, float]], seed: int = 1) -> dict[str, str]:
     """Communities of the best modularity that local moves and merging find; labels from "1"."""
     nodes = sorted({x for a, b, _ in edges for x in (a, b)})
@@ -188,7 +200,7 @@ def blockmodel(edges: list[tuple[str, str, float]], seed: int = 1) -> dict[str,
 def cluster(edges: DataFrame, method: str = "louvain", weight: str | None = None, seed: int = 1) -> DataFrame:
     """(node, cluster). The driver holds the edges: labels and their rules are few, however many sites there are."""
     one_of(method, ("louvain", "blockmodel"), "method")
-    rows = [(r[0], r[1], float(r[2])) for r in edges.select("node1", "node2", F.col(weight) if weight else F.lit(1.0)).collect()]
+    rows = [(r[0], r[1], float(r[2])) for r in gathered(edges, "node1", "node2", F.col(weight) if weight else F.lit(1.0))]
     label = louvain(rows, seed) if method == "louvain" else blockmodel(rows, seed)
     return edges.sparkSession.createDataFrame(sorted(label.items()), "node string, cluster string")
 
@@ -196,7 +208,7 @@ def cluster(edges: DataFrame, method: str = "louvain", weight: str | None = None
 def betweenness(edges: DataFrame) -> DataFrame:
     """(node, betweenness): how many shortest paths between two others lead through a node (Brandes, 2001), of the undirected network."""
     graph: dict[str, set] = defaultdict(set)
-    for a, b in edges.select("node1", "node2").collect():
+    for a, b in gathered(edges, "node1", "node2"):
         graph[a].add(b)
         graph[b].add(a)
     score = dict.fromkeys(graph, 0.0)
@@ -234,9 +246,16 @@ def random_network(nodes: DataFrame, edges: int, seed: int = 0) -> DataFrame:
     """(node1, node2): edges drawn with replacement among all two nodes, each kept once."""
     names = sorted(r.node for r in nodes.select("node").collect())
     rng = np.random.default_rng(seed)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    drawn = sorted({int(k) for k in rng.integers(0, len(pairs), edges)}) if pairs else []
-    return nodes.sparkSession.createDataFrame([pairs[k] for k in drawn], "node1 string, node2 string")
+    n = len(names)
+    drawn = sorted({int(k) for k in rng.integers(0, n * (n - 1) // 2, edges)}) if n > 1 else []
+    out = []
+    for k in drawn:
+        # the k-th of all (i, j), i < j: row i begins after i * (2n - i - 1) / 2 of them
+        i = int((2 * n - 1 - math.sqrt((2 * n - 1) ** 2 - 8 * k)) / 2)
+        i += (i + 1) * (2 * n - i - 2) // 2 <= k
+        i -= i * (2 * n - i - 1) // 2 > k
+        out.append((names[i], names[k - i * (2 * n - i - 1) // 2 + i + 1]))
+    return nodes.sparkSession.createDataFrame(out, "node1 string, node2 string")
 
 
 def powerlaw(degrees: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import numerics
+from pairloom.functions.storage import ship
 
 DIRECTIONAL = ("1-2", "2-1", "convergent", "divergent")
 SIMPLE = ("same", "opposite")
@@ -51,6 +52,8 @@ def orientation(rules: DataFrame, directional: bool = False, p_values: bool = Tr
     if not p_values:
         return out
 
+    ship(rules.sparkSession)
+
     @F.pandas_udf("double")
     def p(counts: pd.Series) -> pd.Series:
         return counts.map(lambda c: numerics.uniform_p(c))

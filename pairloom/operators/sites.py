@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pairloom.functions.storage import ship
 from pairloom.schema import need, one_of
 
 ORDER = ("start", "end", "site_id")
@@ -139,6 +140,7 @@ def keep_best(sites: DataFrame, per_name: bool = True, chunk: int = 1 << 20) ->
         if held is not None:
             yield held
 
+    ship(sites.sparkSession)
     return laid.mapInArrow(walk, laid.schema).drop("island")
 
 
