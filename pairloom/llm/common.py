@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from pairloom.functions.storage import shared, ship
+
+__all__ = ["column", "drop", "held", "long_id", "map_texts", "plain_words", "saved", "saved_at", "scratch", "shared_dir", "ship", "spaced_words", "steps", "table"]
+
 #: Bytes of text that one step of a Python operator handles at a time.
 STEP_BYTES = 4 << 20
 
@@ -46,32 +46,9 @@ def long_id(df: DataFrame, name: str = "doc_id") -> Column:
     return F.col(name).cast("long").alias(name)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to executors that could not import it from their own path."""
-    root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    sc = spark.sparkContext
-    if any(p and Path(p).resolve() == root for p in known) or getattr(sc, "_pairloom_shipped", False):
-        return
-    to = Path(tempfile.mkdtemp()) / "pairloom.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted((root / "pairloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(to))
-    sc._pairloom_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (only without a cluster) a temporary one."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(sc, "_pairloom_dir", None):
-        sc._pairloom_dir = tempfile.mkdtemp(prefix="pairloom-")
-    return f"file://{sc._pairloom_dir}"
+    """The folder that driver and executors share."""
+    return shared(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -93,9 +70,14 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows of df as a written table: a lost executor costs no more than reading it again."""
-    at = f"{scratch(df.sparkSession, name)}/t"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return saved_at(df, name)[0]
+
+
+def saved_at(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """As `saved`, with the path to `drop` when nothing reads the table any more; else it goes when the session's JVM ends."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(f"{at}/t")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/t"), at
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import saved
+from pairloom.llm.common import drop, saved_at
 
 #: Rounds before giving up; each at least halves the height of a component's tree, so this is never reached.
 MOST_ROUNDS = 60
@@ -17,9 +17,11 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star (Kiveris et al., 2014): every node hangs its neighbours on its smallest one.
     Each step is an aggregation to one row per node, with partial sums before the shuffle, and a join of the links
     with it whose large keys adaptive execution splits, so a node with very many links is never gathered in a task.
-    Links that repeat or join a node with itself do no harm; null ends are ignored.
+    Links that repeat or join a node with itself do no harm; null ends are ignored; without links there are no rows.
+    Each round's table is deleted when the next one is written.
     """
-    edges = saved(
+    spark = links.sparkSession
+    edges, at = saved_at(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct(), "links"
     )
     state = None
@@ -32,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = saved(small.where("u <> v").distinct(), "star")
+        edges, after = saved_at(small.where("u <> v").distinct(), "star")
+        drop(spark, at)
+        at = after
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == now:
             break

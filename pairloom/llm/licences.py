@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, held, map_texts, plain_words, saved, ship
+from pairloom.llm.common import column, held, long_id, map_texts, plain_words, saved, ship
 
 #: Phrases whose every place counts, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -153,11 +153,12 @@ def common(x: list[bytes], y: list[bytes]) -> int:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (array of start, end, label, base, share): all verified places of every document.
 
-    Null and empty texts have no words and no spans. Null ids and repeated rows are kept; other columns are not read.
+    Null and empty texts have no words and no spans. Null ids and repeated rows are kept; an empty table gives no
+    rows; other columns are not read. A doc_id that is no whole number raises.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
+    rows = docs.select(long_id(docs), F.col("text"), F.xxhash64(long_id(docs), "text").alias("key"))
     found = diagonals(rows, F.struct(F.col("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d")))
     # rows that repeat id and text give the same hits: a diagonal counts once
     hits = saved(found.groupBy(F.col("key.key").alias("key"), F.col("key.d").alias("d")).agg(F.array_sort(F.collect_list(F.struct("template", "diagonal", "first", "last"))).alias("hits")), "hits")
@@ -174,12 +175,15 @@ def scan(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("base", pa.bool_()), ("share", pa.float64())]))
         return {"doc_id": column(batch, "doc_id"), "n_words": pa.array(n, pa.int64()), "spans": pa.array(out, kind)}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(joined, joined.columns, f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint,label:string,base:boolean,share:double>>", work)
+    return map_texts(joined, joined.columns, "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint,label:string,base:boolean,share:double>>", work)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: n_base, first_word, last_word, base_labels, labels and score (the largest share of a template that the text has)."""
+    """One row per document: n_base, first_word, last_word, base_labels, labels and score (the largest share of a template that the text has).
+
+    Without any place n_base is 0, first_word and last_word are null, both labels empty and the score is 0; so it is
+    for null and empty texts. Null ids, repeated rows, empty tables and other columns are as in `scan`.
+    """
     s = scan(docs)
     base = F.filter("spans", lambda x: x["base"])
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
