@@ -110,9 +110,20 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+#: Spark's setting for the bytes of a batch that it hands to Python, its default (64 MB), and the bytes for texts.
+_BATCH, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches are bounded by fewer bytes, since 10,000 rows may be long texts. A setting of the session's own stays."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, cols: list, schema: str, work: Callable, text: str = "text", limit: int = STEP_BYTES) -> DataFrame:
     """Run work(batch, texts) -> dict of columns (or RecordBatch, or None) over slices of whole texts, without a shuffle."""
     ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch, texts in steps(batches, text, limit):
