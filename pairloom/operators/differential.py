@@ -67,8 +67,10 @@ def contrasts(table: DataFrame, measure: str = "cosine") -> list[tuple[str, str]
 
 
 def fold_changes(table: DataFrame, measure: str = "cosine", pseudo: float = 0.01) -> DataFrame:
-    """With a column <a>/<b>_<measure>_log2fc for every two samples."""
-    return table.select("*", *[fold_change(F.col(f"`{a}_{measure}`"), F.col(f"`{b}_{measure}`"), pseudo).alias(f"{a}/{b}_{measure}_log2fc") for a, b in contrasts(table, measure)])
+    """With a column <a>/<b>_<measure>_log2fc for every two samples, in ascending order of the first."""
+    two = contrasts(table, measure)
+    out = table.select("*", *[fold_change(F.col(f"`{a}_{measure}`"), F.col(f"`{b}_{measure}`"), pseudo).alias(f"{a}/{b}_{measure}_log2fc") for a, b in two])
+    return out.orderBy(F.col(f"`{two[0][0]}/{two[0][1]}_{measure}_log2fc`").asc_nulls_last(), *PAIR) if two else out
 
 
 def select(table: DataFrame, contrast: tuple[str, str] | None = None, measure: str = "cosine", bounds: tuple[float, float] | None = None, least_mean: float | None = None, percent: float = 0.05) -> DataFrame:

@@ -123,7 +123,7 @@ def analyze(counts: DataFrame, signal: DataFrame, method: str = "zscore", thresh
     """Peaks of the signal with the raw counts at and around them.
 
     total counts a pair over the distances of the signal; pairs below min_count are left out. near counts it within
-    the smoothing window of the peak, `window` names its ends.
+    the smoothing window of the peak, `window` names its ends. The most prominent peaks come first.
     """
     one_of(method, ("zscore", "flat"), "method")
     left, right = halves(smooth_window)
@@ -138,7 +138,7 @@ def analyze(counts: DataFrame, signal: DataFrame, method: str = "zscore", thresh
     near = near.groupBy(*PAIR, "distance", "height", "prominence", "threshold", "lo", "hi").agg(F.sum("value").alias("near"))
     return near.join(totals, PAIR).select(
         *PAIR, "distance", "height", "prominence", "threshold", "total", "near", (F.col("near") / F.when(F.col("total") != 0, F.col("total")) * 100).alias("percent"), F.format_string("[%d;%d]", "lo", "hi").alias("window")
-    )
+    ).orderBy(F.desc("prominence"), *PAIR, "distance")
 
 
 def noise(signal: DataFrame, peaks: DataFrame, method: str = "median", height_multiplier: float = 0.75) -> DataFrame:

@@ -23,7 +23,7 @@ def orientation(rules: DataFrame, directional: bool = False, p_values: bool = Tr
 
     Rules are of labels name(strand). Undirected ones are first cut to one row per two stranded labels and sorted into
     same and opposite; directed ones into both orders on the strand, convergent and divergent. Strands other than +
-    and - belong to no scenario.
+    and - belong to no scenario. With p-values the rows are in their order, the smallest first.
     """
     r = _split(rules)
     if not directional:
@@ -60,4 +60,4 @@ def orientation(rules: DataFrame, directional: bool = False, p_values: bool = Tr
 
     # each combination of counts is tested once
     counts = out.select(*[q(k) for k in names]).distinct().withColumn("pvalue", p(F.array(*[q(k) for k in names])))
-    return out.join(counts, names)
+    return out.join(counts, names).orderBy("pvalue", F.desc("total"), "name1", "name2")
