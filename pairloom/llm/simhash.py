@@ -121,7 +121,16 @@ def links(prints: DataFrame, distance: int = DISTANCE, refine: bool | None = Non
     if "c" in prints.columns:
         on = on & (F.col("a.c") != F.col("b.c"))
     s = signatures(prints, distance, refine)
-    return s.alias("a").join(s.alias("b"), on).select(F.col("a.f").alias("a"), F.col("b.f").alias("b"))
+    # Spark takes the exploded table for no larger than the one it comes from, and would broadcast it
+    return s.alias("a").join(s.alias("b").hint("merge"), on).select(F.col("a.f").alias("a"), F.col("b.f").alias("b"))
+
+
+def stars(prints: DataFrame, distance: int = DISTANCE, refine: bool = False) -> DataFrame:
+    """Links (a, b) of each fingerprint of prints(f) to the smallest one of each of its signatures, if that is within the distance."""
+    s = signatures(prints, distance, refine)
+    least = s.groupBy("key").agg(F.min("f").alias("m"))
+    near = (F.col("f") != F.col("m")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("m"))) <= distance)
+    return s.join(least.hint("merge"), "key").where(near).select(F.col("f").alias("a"), F.col("m").alias("b"))
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE, refine: bool | None = None) -> DataFrame:
@@ -133,10 +142,7 @@ def groups(prints: DataFrame, distance: int = DISTANCE, refine: bool | None = No
     """
     if refine is None:
         refine = prints.count() > REFINE_FROM
-    s = signatures(prints, distance, refine)
-    least = s.groupBy("key").agg(F.min("f").alias("m"))
-    star = s.join(least, "key").where((F.col("f") != F.col("m")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("m"))) <= distance)).select(F.col("f").alias("a"), F.col("m").alias("b"))
-    near = components(star).select(F.col("node").alias("f"), F.col("component").alias("c"))
+    near = components(stars(prints, distance, refine)).select(F.col("node").alias("f"), F.col("component").alias("c"))
     part = saved(prints.join(near, "f", "left").select("f", F.coalesce("c", "f").alias("c")), "contracted")
     between = links(part, distance, refine)
     side = lambda c: part.select(F.col("f").alias(c), F.col("c").alias(f"c{c}"))

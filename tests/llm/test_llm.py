@@ -842,3 +842,13 @@ def test_pipeline(spark, tmp_path):
     for x in out:
         size[x.doc_id] += x.n_tokens
     assert all(size[i] == len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows if i in left)
+
+
+@pytest.mark.parametrize("refine", [False, True])
+def test_signatures_are_never_broadcast(spark, refine):
+    """64 rows and more for each fingerprint, which Spark's estimate of the exploded table leaves out."""
+    prints = spark.range(500).selectExpr("xxhash64(id) as f")
+    grouped = prints.selectExpr("f", "f as c")
+    for find, table in (("links", prints), ("links", grouped), ("stars", prints)):
+        plan = getattr(simhash, find)(table, refine=refine)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
