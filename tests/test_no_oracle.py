@@ -329,3 +329,34 @@ def test_long_chain(spark):
             want.add(x[0])
             last[k] = x
         assert {r.site_id for r in S.keep_best(df, per_name).collect()} == want
+
+
+def odd_sites(spark):
+    r = random.Random(23)
+    rows = []
+    for k in range(700):
+        a = r.choice([r.randint(-300, 3000), r.randint(0, 200), 7 * r.randint(0, 40)])
+        rows.append((k, r.choice(["c1", "c1", "c1", "c2", "c3"]), a, a + r.choice([0, 1, 1, 5, 12, 30]), r.choice("ABCD"), 1.0, r.choice("+-")))
+    rows += [(700, "c1", 100, 260, "A", 1.0, "+"), (701, None, 5, 9, "B", 1.0, "+"), (702, "c2", None, 9, "A", 1.0, "+"), (703, "c2", 4, None, "C", 1.0, "-"), (704, "c3", 50, 60, None, 1.0, "+")]
+    return spark.createDataFrame(rows, "site_id long, contig string, start long, end long, name string, score double, strand string")
+
+
+WINDOWS = [Window(max_dist=20), Window(min_dist=3, max_dist=40, max_overlap=0.5), Window(max_dist=60, anchor="outer", directional=True), Window(max_dist=25, anchor="center", max_overlap=1, stranded=True)]
+
+
+@pytest.mark.parametrize("window", WINDOWS)
+def test_background_over_blocks_is_that_of_the_join(spark, monkeypatch, window):
+    monkeypatch.setattr(background, "BLOCK", 40)
+    frame, w = odd_sites(spark), window.but(stranded=False)
+    got = background.background_counts(frame, window, 3)
+    want = background.pairs.directed_counts(background.shuffled_sites(frame, window, [0, 1, 2]), w, extra=("seed",))
+    want = want if window.directional else background.pairs.symmetric(want, ("seed",))
+    rows = lambda df: Counter((r.seed, r.name1, r.name2, r.n) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() > 10
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_shuffles_move_no_sites(spark, exact):
+    """Only counts are shuffled, however many shuffles there are; no join for each of them."""
+    plan = background.background_counts(odd_sites(spark), Window(max_dist=20), 4, exact)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
