@@ -355,8 +355,26 @@ def test_background_over_blocks_is_that_of_the_join(spark, monkeypatch, window):
     assert rows(got) == rows(want) and got.count() > 10
 
 
+@pytest.mark.parametrize("window", WINDOWS[:2])
+def test_exact_background_over_blocks(spark, monkeypatch, window):
+    monkeypatch.setattr(background, "BLOCK", 40)
+    frame = odd_sites(spark).where("contig is not null and start is not null and end is not null and name is not null")
+    rows = sorted((r.contig, r.start, r.end, r.site_id, r.name) for r in frame.collect())
+    want = Counter()
+    for seed in range(3):
+        for (a, b), n in whole(swept(refit(rows, np.random.RandomState(seed).permutation(len(rows)).tolist()), window)).items():
+            want[seed, a, b] += n
+    got = background.background_counts(frame, window, 3, exact=True).collect()
+    assert {(r.seed, r.name1, r.name2): r.n for r in got} == {k: n for k, n in want.items() if n}
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_shuffles_move_no_sites(spark, exact):
     """Only counts are shuffled, however many shuffles there are; no join for each of them."""
     plan = background.background_counts(odd_sites(spark), Window(max_dist=20), 4, exact)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_sites_are_never_broadcast(spark):
+    plan = background.pairs.pair_counts(odd_sites(spark), Window(max_dist=20))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
