@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from pairloom.llm import components, decontam, idstore, licences, packing, pages, quality, registry, simhash, tokens, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_tokens string, fingerprint string"
@@ -852,3 +853,12 @@ def test_signatures_are_never_broadcast(spark, refine):
     for find, table in (("links", prints), ("links", grouped), ("stars", prints)):
         plan = getattr(simhash, find)(table, refine=refine)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pipeline_merges_signatures(spark, monkeypatch):
+    """Both joins over signatures of the pipeline's stage, also where Spark takes its table for a small one."""
+    docs = [(k, f"text {k % 40} of some words and more words", "en", "a", "n", "f") for k in range(60)]
+    plans, run = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or run(found))
+    assert 0 < corpus_pipeline.simhash_stage(spark, spark.createDataFrame(docs, DOCS), "").count() <= 40
+    assert len(plans) == 2 and all("SortMergeJoin [key" in p and "HashJoin [key" not in p for p in plans)
