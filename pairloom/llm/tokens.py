@@ -2,8 +2,8 @@
 
 Before a job, `prove_whole` encodes every vocabulary string on its own on the driver and keeps those that come back as
 that single token; the workers get the proof ready-made. A pre-token found among them counts one token without any
-merging; only the rest goes through the merges of the tokenizers library, each distinct pre-token once per cache
-generation.
+merging; only the rest goes through the merges of the tokenizers library, each distinct pre-token once while the
+cache holds it. A full cache lets go what was seen once, so frequent words are not merged again.
 
 Why words can be handled on their own: the vocabulary's pre-tokenizer drops white space, so no token spans it, and
 neither NFC nor lower-casing reaches across it. Lower-casing A-Z first changes nothing, since NFC followed by
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import column, held, map_texts
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker's cache may hold before it starts anew.
+#: Words from which on a worker's cache lets go the rarer ones; at most half as many stay.
 CACHE_WORDS = 500_000
 
 #: The contractions and classes of the vocabulary's own split pattern, for ASCII bytes in lower case.
@@ -113,81 +113,98 @@ class WordEncoder:
         self.numbers = _Numbers()
         self.first = np.zeros(1 << 17, np.int64)  # by number: where a word's ids begin in the pool, and how many they are
         self.size = np.zeros(1 << 17, np.int64)
+        self.seen = np.zeros(1 << 17, np.int64)  # by number: how often the word stood in a text
         self.pool = np.zeros(1 << 19, self.dtype)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the words that were seen more than once, the most frequent if they are over half of what the cache may hold, and halve their counts."""
+        words, seen = list(self.numbers), self.seen[: len(self.numbers)]
+        keep, most = np.flatnonzero(seen > 1), self.cache_words // 2
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:most]])
+        (ids, sizes), seen = self._gather(keep), seen[keep] >> 1
+        kept = [words[i] for i in keep.tolist()]
+        del words
+        self._reset()
+        self.numbers.update(zip(kept, range(len(kept)), strict=True))
+        self._put(np.arange(len(kept)), ids, sizes)
+        self.seen[: len(kept)] = seen
+
     def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Note the ids, laid end to end, of words that have a number."""
+    def _put(self, at: np.ndarray | list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Note the ids, laid end to end, of the words with these numbers."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.numbers) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            self.first, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.seen))
+        at = np.asarray(at, np.int64)
         self.first[at] = self.used + np.cumsum(sizes) - sizes
         self.size[at] = sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _merge(self, words: list[bytes]) -> None:
+    def _merge(self, at: list[int], words: list[bytes]) -> None:
         """Merge words of one pre-token each: many at once, cut apart again at the ids that end a word."""
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
             ids = np.array(self._library(b" ".join(part).decode()), self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self._put(part, ids, np.diff(cuts, prepend=0))
+                self._put(at[k : k + 2000], ids, np.diff(cuts, prepend=0))
             else:
-                self._apart(part)
+                self._apart(at[k : k + 2000], part)
 
-    def _apart(self, words: list[bytes]) -> None:
+    def _apart(self, at: list[int], words: list[bytes]) -> None:
         """Words that may be of several pre-tokens, each encoded by itself."""
         for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            self._put(part, np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[k : k + 2000]], add_special_tokens=False)]
+            self._put(at[k : k + 2000], np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64))
 
     def _learn(self) -> None:
-        """Encode the words that are new."""
+        """Encode the words that are new. They have the last numbers, in their order."""
         numbers, whole = self.numbers, self.whole
         new, numbers.new = numbers.new, []
-        joined, apart, parts = [], [], {}
-        for w in new:
+        base = len(numbers) - len(new)
+        get = numbers.__getitem__
+        known, joined, apart = [], [], []
+        made, n, at = [], [], []  # words of several parts, how many, and the parts
+        for i, w in enumerate(new, base):
+            if w in whole:
+                known.append(i)
+                continue
             if w.isalpha():
-                continue  # one pre-token of a-z
+                joined.append(i)  # one pre-token of a-z
+                continue
             if w.isascii():
-                parts[w] = _PRE.findall(w)
-            elif not w.decode().isalpha():
+                x = _PRE.findall(w)
+                if x == [w]:
+                    joined.append(i)
+                    continue
+            else:
                 u = w.decode()
+                if u.isalpha():
+                    joined.append(i)
+                    continue
                 stem = u.rstrip(".,!?;:")
-                if stem and stem != u and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
-                    parts[w] = [stem.encode(), u[len(stem) :].encode()]
-                else:
-                    apart.append(w)
-        get = numbers.__getitem__
-        for x in parts.values():
-            for y in x:
-                get(y)
+                if not (stem and stem != u and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha()):
+                    apart.append(i)
+                    continue
+                x = [stem.encode(), u[len(stem) :].encode()]
+            made.append(i)
+            n.append(len(x))
+            at += map(get, x)
         more, numbers.new = numbers.new, []
-        known = [w for w in (*new, *more) if w in whole]
-        self._put(known, np.array([whole[w] for w in known], self.dtype), np.ones(len(known), np.int64))
-        for w in new:
-            if w not in whole and w not in parts and (w.isalpha() or not w.isascii() and w.decode().isalpha()):
-                joined.append(w)
-        for w in more:
-            if w not in whole:
-                (joined if w.isascii() or w.decode().isalpha() else apart).append(w)
-        # a word that is its own only part
-        joined += [w for w, x in parts.items() if x == [w] and w not in whole]
-        self._merge(joined)
-        self._apart(apart)
-        made = [w for w, x in parts.items() if x != [w]]
+        for i, w in enumerate(more, base + len(new)):
+            (known if w in whole else joined if w.isascii() or w.decode().isalpha() else apart).append(i)
+        words = new + more
+        self._put(known, np.array([whole[words[i - base]] for i in known], self.dtype), np.ones(len(known), np.int64))
+        self._merge(joined, [words[i - base] for i in joined])
+        self._apart(apart, [words[i - base] for i in apart])
         if made:
-            n = np.array([len(parts[w]) for w in made], np.int64)
-            at = np.fromiter((get(y) for w in made for y in parts[w]), np.int64, int(n.sum()))
-            ids, sizes = self._gather(at)
+            ids, sizes = self._gather(np.array(at, np.int64))
             ends = np.cumsum(n)
             total = np.concatenate([[0], np.cumsum(sizes)])
             self._put(made, ids, total[ends] - total[ends - n])
@@ -202,7 +219,7 @@ class WordEncoder:
     def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """(numbers of all words, words of each text, texts that hold a special token's string and go through the library)."""
         if len(self.numbers) > self.cache_words:
-            self._reset()
+            self._shrink()
         special, lists = [], []
         for k, t in enumerate(texts):
             low = t.lower()
@@ -217,6 +234,8 @@ class WordEncoder:
         at = np.fromiter(map(get, chain.from_iterable(lists)), np.int64, int(n.sum()))
         if self.numbers.new:
             self._learn()
+        times = np.bincount(at)
+        self.seen[: len(times)] += times
         return at, n, special
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -862,3 +862,17 @@ def test_pipeline_merges_signatures(spark, monkeypatch):
     monkeypatch.setattr(simhash, "components", lambda found: plans.append(found._jdf.queryExecution().executedPlan().toString()) or run(found))
     assert 0 < corpus_pipeline.simhash_stage(spark, spark.createDataFrame(docs, DOCS), "").count() <= 40
     assert len(plans) == 2 and all("SortMergeJoin [key" in p and "HashJoin [key" not in p for p in plans)
+
+
+def test_full_cache_keeps_frequent_words():
+    """A word that stands often is merged once, however many rare ones come after it."""
+    r, enc, asked = random.Random(7), tokens.WordEncoder(cache_words=50), []
+    rare = lambda: " ".join("".join(r.choices("qxzvjkw", k=9)) for _ in range(80))
+    often = [f"zqxv{a}{b}" for a in "abcde" for b in "abcdefgh"]
+    library = enc._library
+    enc._library = lambda text: asked.append(text) or library(text)
+    for k in range(6):
+        text = " ".join([*often[:10] * 3, *often * 2, rare()])
+        assert enc.count([text.encode()]) == [len(library(text))]
+        assert len(enc.numbers) <= 25 + 40 + 80
+    assert sum(t.split().count(w) for t in asked for w in often[:10]) == 10
