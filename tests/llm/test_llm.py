@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from pairloom.llm import components, decontam, idstore, licences, packing, pages, quality, registry, simhash, tokens, toxicity, vectors
+from pairloom.llm import common, components, decontam, idstore, licences, packing, pages, quality, registry, simhash, tokens, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_tokens string, fingerprint string"
 ODD = [
@@ -876,3 +877,15 @@ def test_full_cache_keeps_frequent_words():
         assert enc.count([text.encode()]) == [len(library(text))]
         assert len(enc.numbers) <= 25 + 40 + 80
     assert sum(t.split().count(w) for t in asked for w in often[:10]) == 10
+
+
+def test_caches_of_other_operators_go(spark):
+    """A worker that goes on to an operator without a cache does not keep that of the one before."""
+    docs = spark.createDataFrame([(i, f"some words {i}. and others") for i in range(64)], "doc_id long, text string").repartition(4)
+    model = toxicity.Model(np.zeros((1 << toxicity.BITS) + 1), -7.0, (4,))
+    assert toxicity.score(docs, model).count() == 64
+
+    def peek(batch, texts):
+        return {"n": pa.array([len(common._held)] * len(texts), pa.int64())}
+
+    assert {r.n for r in common.map_texts(docs, ["text"], "n bigint", peek).collect()} == {0}
