@@ -368,6 +368,37 @@ def test_exact_background_over_blocks(spark, monkeypatch, window):
     assert {(r.seed, r.name1, r.name2): r.n for r in got} == {k: n for k, n in want.items() if n}
 
 
+def test_exact_background_has_no_bound(spark, monkeypatch):
+    """More sites than exact mode took once (5 million there, three here)."""
+    monkeypatch.setattr(background, "MOST_EXACT", 3, raising=False)
+    frame = odd_sites(spark)
+    got = background.background_counts(frame, Window(max_dist=20), 2, exact=True)
+    assert frame.count() > 3 and {r.seed for r in got.collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 1000, 5_000_001])
+def test_drawn_permutations(n):
+    """Those of numpy, in half the bytes."""
+    got = background._drawn(7, n)
+    assert got.dtype == np.int32 and (got == np.random.RandomState(7).permutation(n)).all()
+
+
+@pytest.mark.parametrize(("longest", "size"), [(0, 1), (127, 1), (128, 2), (40_000, 4), (1 << 40, 8)])
+def test_lengths_take_few_bytes(spark, longest, size):
+    placed = spark.createDataFrame([(1, "a", 5, 5 + longest), (0, "b", 9, 9 - longest), (2, "a", None, 3)], "pos long, name string, start long, end long")
+    names, n, codes, lengths = background._labels(background._label_file(placed, ["a", "b"], longest))
+    assert lengths.itemsize == size and lengths.tolist() == [-longest, longest, background._none(lengths.dtype)]
+    assert [names[c] for c in codes] == ["b", "a", "a"]
+
+
+def test_a_permutation_is_drawn_by_few_tasks(spark, monkeypatch):
+    """Not again for every partition of the sites, and not all of them by one task."""
+    counted, seen = background.sweep_counts, []
+    monkeypatch.setattr(background, "sweep_counts", lambda blocks, w: seen.append(blocks) or counted(blocks, w))
+    background.background_counts(odd_sites(spark), Window(max_dist=20), 8, exact=True)
+    assert seen[0].rdd.getNumPartitions() == 16
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_shuffles_move_no_sites(spark, exact):
     """Only counts are shuffled, however many shuffles there are; no join for each of them."""
