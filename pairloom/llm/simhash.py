@@ -143,10 +143,11 @@ def groups(prints: DataFrame, distance: int = DISTANCE, refine: bool | None = No
     if refine is None:
         refine = prints.count() > REFINE_FROM
     near = components(stars(prints, distance, refine)).select(F.col("node").alias("f"), F.col("component").alias("c"))
-    part = saved(prints.join(near, "f", "left").select("f", F.coalesce("c", "f").alias("c")), "contracted")
+    # tables with a row for each fingerprint or group are merged: broadcast, they would go through the driver and into every executor
+    part = saved(prints.join(near.hint("merge"), "f", "left").select("f", F.coalesce("c", "f").alias("c")), "contracted")
     between = links(part, distance, refine)
     side = lambda c: part.select(F.col("f").alias(c), F.col("c").alias(f"c{c}"))
-    whole = components(between.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    whole = components(between.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return part.join(whole.select(F.col("node").alias("c"), "component"), "c", "left").select("f", F.coalesce("component", "c").alias("component"))
 
 
@@ -160,7 +161,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     prints = saved(fingerprints(docs), "prints")
     classes = saved(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least")), "classes")
-    member = classes.join(groups(classes.select("f"), distance), "f")
+    member = classes.join(groups(classes.select("f"), distance).hint("merge"), "f")
     tops = member.groupBy("component").agg(F.min("least").alias("component_id"))
     of = member.join(tops, "component").select("f", "component_id")
     return prints.join(of, prints.fingerprint == of.f).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -176,8 +177,8 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     kept = saved(docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))), "rows")
     prints = saved(fingerprints(kept, F.col(name)), "prints")
     classes = saved(prints.groupBy(F.col("fingerprint").alias("f")).agg(F.min(name).alias("least")), "classes")
-    member = classes.join(groups(classes.select("f"), distance), "f")
+    member = classes.join(groups(classes.select("f"), distance).hint("merge"), "f")
     best = member.groupBy("component").agg(F.min("least").alias("k")).select(F.col("k.n").alias("kn"), F.coalesce("k.d", F.lit(0)).alias("kd"), F.col("k.h").alias("kh"))
-    rows = kept.join(best, (F.col(f"{name}.n") == F.col("kn")) & (F.coalesce(F.col(f"{name}.d"), F.lit(0)) == F.col("kd")) & (F.col(f"{name}.h") == F.col("kh")), "left_semi")
+    rows = kept.join(best.hint("merge"), (F.col(f"{name}.n") == F.col("kn")) & (F.coalesce(F.col(f"{name}.d"), F.lit(0)) == F.col("kd")) & (F.col(f"{name}.h") == F.col("kh")), "left_semi")
     # rows that repeat both id and text: one of them
     return rows.dropDuplicates([name]).drop(name)

@@ -865,6 +865,14 @@ def test_pipeline_merges_signatures(spark, monkeypatch):
     assert len(plans) == 2 and all("SortMergeJoin [key" in p and "HashJoin [key" not in p for p in plans)
 
 
+def test_pipeline_merges_what_grows(spark):
+    """Tables with a row for each fingerprint or group aren't broadcast, also where Spark takes them for small ones."""
+    docs = [(k, f"text {k % 40} of some words and more words", "en", "a", "n", "f") for k in range(60)]
+    plan = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(docs, DOCS), "")._jdf.queryExecution().executedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Join" in line and ("LeftSemi" in line or "least" in line or "[f#" in line)]
+    assert kept and all("SortMergeJoin" in line for line in kept)
+
+
 def test_full_cache_keeps_frequent_words():
     """A word that stands often is merged once, however many rare ones come after it."""
     r, enc, asked = random.Random(7), tokens.WordEncoder(cache_words=50), []
